@@ -67,14 +67,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     Empty table: empty result. Other columns pass through; columns named
     n_lines or n_dropped are replaced.
     """
-    drops = repeated_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "__doc")
-    lines = _lines(F.col("text"))
-    at = F.col("__drop_at")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(at, i))
-    joined = docs.join(drops.withColumnRenamed("drop_at", "__drop_at"), docs["doc_id"] == drops["__doc"], "left")
+    drops = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("drop_at").alias("__at"))
+    passed = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    # lines is used twice, so Spark keeps it as a column and splits a text once
+    joined = docs.join(drops, docs["doc_id"] == drops["__doc"], "left").select(
+        *[docs[c] for c in passed], docs["text"], "__at", _lines(docs["text"]).alias("__lines")
+    )
+    lines, at = F.col("__lines"), F.col("__at")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at)
     return joined.select(
-        *[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
-        F.when(at.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
+        *[F.col(f"`{c}`") for c in passed],
+        F.when(at.isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n")).alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_dropped"),
     )
