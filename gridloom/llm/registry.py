@@ -5,8 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from gridloom.llm.bpe import encode_decode
 from gridloom.llm.common import table
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.packing import pack
+from gridloom.llm.topk import exact_top_k
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into sequences of power-of-two lengths up to 2048."""
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, max_tokens=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every twentieth vector the 20 others with the highest integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20, scale=64.0)
+
+
+OP8_SQL = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as w from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), dims as (
+  select vec_id, unnest(generate_series(1, len(w))) as t, unnest(w) as v from usable
+), scored as (
+  select q.vec_id as query_id, c.vec_id, sum(q.v * c.v)::bigint as score
+  from dims q join dims c on q.t = c.t and q.vec_id <> c.vec_id
+  where q.vec_id % 20 = 0 group by all
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored
+)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 20
+"""
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +81,8 @@ from judged group by doc_id
 
 
 def queries() -> dict:
-    return {"op10_line_dedup": op10_line_dedup}
+    return {"op3_bpe": op3_bpe, "op4_packing": op4_packing, "op8_top_k": op8_top_k, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op8_top_k": OP8_SQL, "op10_line_dedup": OP10_SQL}
