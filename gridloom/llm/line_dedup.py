@@ -47,8 +47,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # one more join key makes both sides exchange anew, so Spark may split a hot partition
+    again = F.pmod("h1", F.lit(1024)).alias("h3")
     return (
-        long_lines.join(common, ["h1", "h2"])
+        long_lines.select("*", again)
+        .join(common.select("*", again), ["h1", "h2", "h3"])
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id")
         .agg(F.collect_set("pos").alias("drop_at"))

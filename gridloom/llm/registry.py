@@ -10,10 +10,16 @@ import public_tokenizers
 from gridloom.llm.bpe import encode_decode
 from gridloom.llm.common import table
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack
 from gridloom.llm.topk import exact_top_k
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents on two-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded and decoded again."""
     docs = table(spark, sf_dir, "documents")
@@ -81,7 +87,7 @@ from judged group by doc_id
 
 
 def queries() -> dict:
-    return {"op3_bpe": op3_bpe, "op4_packing": op4_packing, "op8_top_k": op8_top_k, "op10_line_dedup": op10_line_dedup}
+    return {"op1_minhash": op1_minhash, "op3_bpe": op3_bpe, "op4_packing": op4_packing, "op8_top_k": op8_top_k, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
