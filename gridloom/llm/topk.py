@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 #: Rows in a block of candidates and of queries: they bound a task's memory.
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 2048
-#: Query rows scored at once.
-SCORED_ROWS = 128
+#: Query rows scored at once: with a block's scores they fit a core's cache.
+SCORED_ROWS = 16
 
 
 def usable(vector: Column) -> Column:
@@ -47,15 +47,17 @@ def _weights(col: pa.ChunkedArray, width: int, scale: float) -> np.ndarray:
 def _accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     """Scores of query rows against a block, one term at a time."""
     scores = np.zeros((len(queries), n), postings[0][1].dtype if postings else np.int64)
+    add = np.empty_like(scores)
     for t, (at, weights) in enumerate(postings):
         rows = np.flatnonzero(queries[:, t])
         if not len(rows) or not len(at):
             continue
-        add = queries[rows, t].astype(scores.dtype)[:, None] * weights[None, :]
-        if len(rows) == len(queries) and len(at) == n:
+        if len(at) == n:
+            # a zero term adds nothing, so rows that lack it may go along
+            np.multiply(queries[:, t].astype(scores.dtype)[:, None], weights[None, :], out=add)
             scores += add
         else:
-            scores[np.ix_(rows, at)] += add
+            scores[np.ix_(rows, at)] += queries[rows, t].astype(scores.dtype)[:, None] * weights[None, :]
     return scores
 
 
