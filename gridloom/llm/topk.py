@@ -20,6 +20,8 @@ CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 2048
 #: Query rows scored at once: with a block's scores they fit a core's cache.
 SCORED_ROWS = 16
+#: A postings list with this share of a block's candidates is kept with its zeros and added without a scatter.
+DENSE = 0.1
 
 
 def usable(vector: Column) -> Column:
@@ -53,7 +55,7 @@ def _accumulate(queries: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray
         if not len(rows) or not len(at):
             continue
         if len(at) == n:
-            # a zero term adds nothing, so rows that lack it may go along
+            # a zero weight adds nothing, so rows and candidates that lack the term may go along
             np.multiply(queries[:, t].astype(scores.dtype)[:, None], weights[None, :], out=add)
             scores += add
         else:
@@ -67,7 +69,10 @@ def _best_in_block(query_ids, query_rows, q, ids, c, k: int):
     ids, c = ids[order], c[order]
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     kind = np.int32 if bound < 2**31 - 1 else np.int64
-    postings = [(at := np.flatnonzero(c[:, t]), c[at, t].astype(kind)) for t in range(c.shape[1])]
+    postings = []
+    for column in c.T.astype(kind):
+        at = np.flatnonzero(column)
+        postings.append((at, column[at]) if len(at) < DENSE * len(column) else (np.arange(len(column)), np.ascontiguousarray(column)))
     found = []
     for lo in range(0, len(q), SCORED_ROWS):
         scores = _accumulate(q[lo : lo + SCORED_ROWS], postings, len(ids))
