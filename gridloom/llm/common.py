@@ -50,7 +50,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.shared_path = path
+    return written
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote and nothing will read again."""
+    spark, path = df.sparkSession, df.shared_path
+    _written[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
 
 
 def _register(spark: SparkSession, path: str) -> None:
@@ -63,8 +72,10 @@ def _register(spark: SparkSession, path: str) -> None:
 
 def _remove(spark: SparkSession, app: str) -> None:
     with contextlib.suppress(Exception):  # a session that has ended removes nothing
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _written.pop(app, []):
-            target = hadoop.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -12,6 +12,7 @@ from gridloom.llm.common import table
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack
+from gridloom.llm.substring import dedup_substrings
 from gridloom.llm.topk import exact_top_k
 
 
@@ -34,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in windows of thirteen that a smaller document holds too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every twentieth vector the 20 others with the highest integer inner product."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -87,7 +94,7 @@ from judged group by doc_id
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op3_bpe": op3_bpe, "op4_packing": op4_packing, "op8_top_k": op8_top_k, "op10_line_dedup": op10_line_dedup}
+    return {"op1_minhash": op1_minhash, "op3_bpe": op3_bpe, "op4_packing": op4_packing, "op7_substring_dedup": op7_substring_dedup, "op8_top_k": op8_top_k, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
