@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses; what is there at exit is removed."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _register(spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -42,8 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the write are removed when it ends; the table is removed at exit.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _register(spark, path)
+    path = new_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

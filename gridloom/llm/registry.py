@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from gridloom.llm.bpe import encode_decode
-from gridloom.llm.common import table
+from gridloom.llm.common import new_path, table
+from gridloom.llm.embedding import near_vectors
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack
 from gridloom.llm.substring import dedup_substrings
 from gridloom.llm.topk import exact_top_k
+from gridloom.llm.warc import read_archive, write_archive
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,31 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed WARC archive and read back."""
+    path = new_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+with keyed as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest from pages
+), bits as (
+  select page_id, html, max(page_id) over (partition by html) as first,
+         list_reduce(list_transform(generate_series(0, 31), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+             (('0x' || substr(digest, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::integer, 1)),
+           lambda a, b: a || b) as payload_digest
+  from keyed
+)
+select page_id, octet_length(encode(html))::bigint as payload_bytes, payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from bits
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded and decoded again."""
     docs = table(spark, sf_dir, "documents")
@@ -35,6 +62,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents in windows of thirteen that a smaller document holds too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,8 +126,17 @@ from judged group by doc_id
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op3_bpe": op3_bpe, "op4_packing": op4_packing, "op7_substring_dedup": op7_substring_dedup, "op8_top_k": op8_top_k, "op10_line_dedup": op10_line_dedup}
+    return {
+        "op1_minhash": op1_minhash,
+        "op2_warc": op2_warc,
+        "op3_bpe": op3_bpe,
+        "op4_packing": op4_packing,
+        "op5_embedding_dedup": op5_embedding_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_top_k": op8_top_k,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op8_top_k": OP8_SQL, "op10_line_dedup": OP10_SQL}
