@@ -6,7 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words; the class [\x20\x09-\x0D].
@@ -85,3 +88,25 @@ def _remove(spark: SparkSession, app: str) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gather: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the groups' bounds, of about ``gather`` rows.
+
+    The rows of ``batches`` must stand sorted by the integer columns ``keys``.
+    """
+
+    def changes(rows: pa.Table) -> np.ndarray:
+        key = np.stack([rows[c].to_numpy() for c in keys])
+        return np.flatnonzero((np.diff(key) != 0).any(0)) + 1
+
+    held: pa.Table | None = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, gather):
+            part = pa.Table.from_batches([batch.slice(start, gather)])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows >= gather and len(cuts := changes(held)):
+                yield held.slice(0, int(cuts[-1])), np.concatenate([[0], cuts])
+                held = held.slice(int(cuts[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.concatenate([[0], changes(held), [held.num_rows]])

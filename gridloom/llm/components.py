@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,17 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         seen = tuple(now)
     return edges.select(F.col("near").alias("node"), F.col("far").alias("component")).union(edges.select(F.col("far").alias("node"), F.col("far").alias("component")).distinct())
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row that each row reaches by the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

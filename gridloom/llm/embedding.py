@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize
-from gridloom.llm.components import connected_components
+from gridloom.llm.common import materialize, whole_groups
+from gridloom.llm.components import connected_components, local_roots
 from gridloom.llm.topk import usable
 
 #: Rows that the rotations are learned from; every row is indexed.
@@ -97,24 +97,9 @@ def _linked(x: np.ndarray, bounds: np.ndarray, side: np.ndarray, threshold: floa
     return i[keep], j[keep]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row that each row reaches by the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _compare(batch: pa.Table, threshold: float) -> pa.RecordBatch:
+def _compare(batch: pa.Table, bounds: np.ndarray, threshold: float) -> pa.RecordBatch:
     """(id, n, root) for the rows of whole groups: links counted in their first table only, and a link that joins."""
     key = np.stack([batch[c].to_numpy() for c in ("t", "sub", "i", "j")])
-    bounds = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0).any(0)) + 1, [batch.num_rows]])
     x = _matrix(batch["embedding"].combine_chunks())
     side = ((key[2] != key[3]) & (batch["block"].to_numpy() == key[3])).astype(np.int64)
     i, j = _linked(x, bounds, side, threshold)
@@ -125,7 +110,7 @@ def _compare(batch: pa.Table, threshold: float) -> pa.RecordBatch:
     count = np.zeros(batch.num_rows, np.int64)
     np.add.at(count, i[first], weight[j[first]])
     np.add.at(count, j[first], weight[i[first]])
-    root = _roots(batch.num_rows, i, j)
+    root = local_roots(batch.num_rows, i, j)
     tell = (count > 0) | (root != np.arange(batch.num_rows))
     return pa.RecordBatch.from_arrays([pa.array(ids[tell]), pa.array(count[tell]), pa.array(ids[root[tell]])], ["id", "n", "root"])
 
@@ -197,18 +182,7 @@ def _search(rows: DataFrame, classes: DataFrame, n: int, dims: int, threshold: f
     full = cells.join(coded, "id").repartition("t", "sub", "i", "j").sortWithinPartitions("t", "sub", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part])
-            if held.num_rows >= GATHER:
-                key = np.stack([held[c].to_numpy() for c in ("t", "sub", "i", "j")])
-                change = np.flatnonzero((np.diff(key) != 0).any(0))
-                if len(change):
-                    cut = int(change[-1]) + 1
-                    yield _compare(held.slice(0, cut), threshold)
-                    held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield _compare(held, threshold)
+        for rows, bounds in whole_groups(batches, ("t", "sub", "i", "j"), GATHER):
+            yield _compare(rows, bounds, threshold)
 
     return materialize(full.select("t", "sub", "i", "j", "block", "id", "weight", "embedding", "keys").mapInArrow(compare, "id long, n long, root long"), "linked")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize
-from gridloom.llm.components import connected_components
+from gridloom.llm.common import materialize, release, whole_groups
+from gridloom.llm.components import connected_components, local_roots
 from gridloom.llm.words import chunks, mix, seeds, shingle_sets
 
 
@@ -45,6 +45,10 @@ class SketchConfig:
 _ELEMENTS = 1 << 16
 #: A pair is verified unless its likelihood at the threshold is below the best by more than this (five sigma).
 LIKELIHOOD_SLACK = 12.5
+#: Members and strangers of a component that are compared at once.
+BLOCK = 256
+#: Shingles whose counts are taken at once.
+SLAB = 8192
 
 
 @lru_cache(maxsize=4)
@@ -141,7 +145,7 @@ def _again(column: str):
 def _bands(reps: DataFrame, config: SketchConfig) -> DataFrame:
     width = 2 * config.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(config.bands)])
-    return reps.select(F.explode(keys).alias("key"), "doc_id", "n_shingles")
+    return reps.select(F.explode(keys).alias("key"), "doc_id")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, words: int, percent: int, config: SketchConfig) -> DataFrame:
@@ -175,50 +179,92 @@ def _verified(pairs: DataFrame, members: DataFrame, words: int, percent: int, co
     return texts.mapInArrow(full, "a long, b long")
 
 
-def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, config: SketchConfig) -> DataFrame | None:
-    """Verified links (a, b) that connect all that share a band and are similar enough.
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    for start in range(0, len(shared), SLAB):
+        slab = shared[start : start + SLAB]
+        dense = []
+        for side, values, row in zip((left, right), flat, rows, strict=True):
+            at = np.minimum(np.searchsorted(slab, values), len(slab) - 1)
+            hit = slab[at] == values
+            part = np.zeros((len(side), len(slab)), np.float32)
+            part[row[hit], at[hit]] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T
+    return out
+
 
-    A bucket is never expanded into its pairs. Everyone in it is compared with
-    one centre first; while members that were not centres lie in different
-    components, a bounded number of new centres from outside the bucket's main
-    component is compared with the rest. Rows made in a round stay in
-    proportion to the members, and no pair across components stays untested.
+def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, config: SketchConfig) -> DataFrame | None:
+    """(node, component) by verified links among all that share a band.
+
+    A bucket is never expanded into its pairs. First everyone is compared with
+    the one centre (the smallest member of a bucket) that it shares most
+    buckets with. Where a bucket then still holds several components, all but
+    its main one are strangers; strangers are compared with all members of
+    such buckets in blocks of bounded size, by counting common shingles for
+    whole blocks, so no pair that shares a bucket across components stays
+    untested, and rows grow with members times blocks of strangers.
     """
     bands = _bands(reps, config)
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select("key", "centre", _again("key"))
-    bucket = materialize(bands.select("*", _again("key")).join(shared, ["key", "again"]).select("key", "doc_id", "n_shingles", "centre"), "bucket")
+    bucket = materialize(bands.select("*", _again("key")).join(shared, ["key", "again"]).select("key", "doc_id", "centre"), "bucket")
     if bucket.isEmpty():
         return None
     inside = bucket.select("doc_id").distinct()
     members = materialize(docs.select("doc_id", "text").join(reps.select("doc_id", "n_shingles", "sig").join(inside, "doc_id", "left_semi"), "doc_id"), "members")
-    sizes = members.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n_centre"))
-
-    def fits() -> F.Column:
-        return 100 * F.least("n_shingles", "n_centre") >= percent * F.greatest("n_shingles", "n_centre")
-
-    def to_test(rows: DataFrame) -> DataFrame:
-        sized = rows.where(F.col("doc_id") != F.col("centre")).select("centre", "doc_id", "n_shingles").distinct().join(sizes, "centre")
-        return sized.where(fits()).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
-
-    links = materialize(_verified(to_test(bucket), members, words, percent, config), "links")
-    left = bucket.where("doc_id != centre").select("key", "doc_id", "n_shingles")
-    while True:
-        component = connected_components(links)
-        placed = left.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key", _again("key"))
-        left = materialize(placed.select("*", _again("key")).join(mixed, ["key", "again"], "left_semi").drop("again"), "left")
-        if left.isEmpty():
-            return component
-        parts = left.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre"))
-        main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main")).select("key", F.col("main.component").alias("main"))
-        others = parts.join(main, "key").where("component != main")
-        # at most sixteen centres for a bucket in each round
-        centres = others.groupBy("key", F.pmod(F.hash("component"), F.lit(16)).alias("slot")).agg(F.min("centre").alias("centre"))
-        centres = materialize(centres.select("key", "centre").join(component.select(F.col("node").alias("centre"), F.col("component").alias("centre_component")), "centre", "left"), "centres")
-        meet = left.join(centres, "key").where(F.col("component") != F.coalesce("centre_component", "centre"))
-        links = materialize(links.union(_verified(to_test(meet), members, words, percent, config)), "links")
-        spent = centres.select("key", F.col("centre").alias("doc_id"))
-        left = left.join(spent, ["key", "doc_id"], "left_anti").select("key", "doc_id", "n_shingles")
+    often = bucket.where("doc_id != centre").groupBy("doc_id", "centre").count()
+    nearest = often.groupBy("doc_id").agg(F.max(F.struct("count", (-F.col("centre")).alias("less"))).alias("top")).select("doc_id", (-F.col("top.less")).alias("centre"))
+    pairs = nearest.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    links = materialize(_verified(pairs, members, words, percent, config), "links")
+    component = connected_components(links)
+
+    placed = bucket.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("parts"))
+    mixed = parts.where("parts > 1").select("key", F.col("main.component").alias("host"), _again("key"))
+    met = placed.select("*", _again("key")).join(mixed, ["key", "again"]).select("host", "doc_id", (F.col("component") != F.col("host")).alias("strange")).distinct()
+    met = materialize(met, "met")
+    block = [F.pmod(F.xxhash64("doc_id"), n) for n in (F.col("blocks"), F.col("strange_blocks"))]
+    sizes = met.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if("strange") / BLOCK).alias("strange_blocks")).select("*", _again("host"))
+    met = met.select("*", _again("host")).join(sizes, ["host", "again"])
+    one, many = F.lit(0).cast("long"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = met.select("host", "doc_id", block[0].alias("i"), many("strange_blocks").alias("j"), one.alias("side"))
+    strange = met.where("strange").select("host", "doc_id", block[1].alias("j"), many("blocks").alias("i"), one.alias("side"))
+    cells = every.unionByName(strange.withColumn("side", F.lit(1).cast("long")))
+    full = cells.join(members.select("doc_id", "text"), "doc_id").repartition("host", "i", "j").sortWithinPartitions("host", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, ("host", "i", "j"), BLOCK):
+            a, b = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                group = rows.slice(lo, hi - lo)
+                side, ids = group["side"].to_numpy(), group["doc_id"].to_numpy()
+                sets = shingle_sets(group["text"], words)
+                at = [np.flatnonzero(side == s) for s in (0, 1)]
+                if not len(at[0]) or not len(at[1]):
+                    continue
+                members, strangers = ([sets[i] for i in x] for x in at)
+                both = common_counts(members, strangers)
+                sizes = [np.array([len(s) for s in x], np.float32) for x in (members, strangers)]
+                i, j = np.nonzero((both > 0) & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)))
+                # as many links as join what hangs together here
+                root = local_roots(len(ids), at[0][i], at[1][j])
+                hung = np.flatnonzero(root != np.arange(len(ids)))
+                a.append(ids[hung])
+                b.append(ids[root[hung]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    found = full.select("host", "i", "j", "side", "doc_id", "text").mapInArrow(compare, "a long, b long")
+    renamed = found.join(component.withColumnRenamed("node", "a"), "a", "left").select("b", F.coalesce("component", "a").alias("a")).distinct()
+    component = connected_components(links.union(renamed.select("a", "b")))
+    for table in (bucket, members, placed):
+        release(table)
+    return component
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, config: SketchConfig | None = None) -> DataFrame:
