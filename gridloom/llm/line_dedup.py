@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -26,20 +28,22 @@ def _lines(text: Column) -> Column:
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, drop_at): per document the positions of the lines to drop.
 
-    Keys are told apart by two chained 64-bit hashes. The count runs in two
+    Keys are told apart by two chained 64-bit hashes; they are taken once and
+    written to the shared folder, as both the count and the join need them. The count runs in two
     steps, by key and document and then by key, both combined before their
     shuffle, so a line that a third of all rows hold is no hot task; the join
     back to the lines is a sort-merge join whose hot partitions Spark splits.
     """
     line = F.col("line")
     # the blanks count towards a raw line's length, so shorter ones can't have a long key
-    long_lines = (
+    long_lines = materialize(
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         .where(F.char_length(line) >= min_chars)
         .select("doc_id", "pos", line_key(line).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key", F.lit(1)).alias("h2"))
+        .select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key", F.lit(1)).alias("h2")),
+        "lines",
     )
     common = (
         long_lines.groupBy("h1", "h2")
