@@ -10,10 +10,12 @@ import public_tokenizers
 from gridloom.llm.bpe import encode_decode
 from gridloom.llm.common import new_path, table
 from gridloom.llm.embedding import near_vectors
+from gridloom.llm.language import identify
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack
 from gridloom.llm.substring import dedup_substrings
+from gridloom.llm.token_counts import count_tokens
 from gridloom.llm.topk import exact_top_k
 from gridloom.llm.warc import read_archive, write_archive
 
@@ -67,6 +69,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents in windows of thirteen that a smaller document holds too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,6 +104,11 @@ select query_id, rank::integer as rank, vec_id, score from ranked where rank <=
 """
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that at least five documents share, over the whole of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -132,8 +144,10 @@ def queries() -> dict:
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
         "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_language": op6_language,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_top_k": op8_top_k,
+        "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
     }
 
