@@ -2,94 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.shared import materialize, new_path, release
+
+__all__ = ["SPACES", "materialize", "new_path", "release", "table", "whole_groups"]
+
 #: Bytes that separate words; the class [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: dict[str, list[str]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and set as the session's checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses; what is there at exit is removed."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _register(spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts lineage in a way that survives lost executors. The shuffle files of
-    the write are removed when it ends; the table is removed at exit.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    written = spark.read.schema(df.schema).parquet(path)
-    written.shared_path = path
-    return written
-
-
-def release(df: DataFrame) -> None:
-    """Remove a table that ``materialize`` wrote and nothing will read again."""
-    spark, path = df.sparkSession, df.shared_path
-    _written[spark.sparkContext.applicationId].remove(path)
-    _delete(spark, path)
-
-
-def _register(spark: SparkSession, path: str) -> None:
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        _written[app] = []
-        atexit.register(_remove, spark, app)
-    _written[app].append(path)
-
-
-def _remove(spark: SparkSession, app: str) -> None:
-    with contextlib.suppress(Exception):  # a session that has ended removes nothing
-        for path in _written.pop(app, []):
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gather: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with the groups' bounds, of about ``gather`` rows.
 
