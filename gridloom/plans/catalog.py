@@ -1,11 +1,676 @@
-"""The query catalogue: each graph query with its SQL oracle."""
+"""The query catalogue: each graph query over the driver's tables with its SQL oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import algebra as al
+from gridloom.operators import ops, scan
+from gridloom.operators.descriptor import SC, C, Descriptor, S
+from gridloom.operators.matrix import Matrix
+from gridloom.operators.vector import Vector
+from gridloom.plans import algorithms as alg
+from gridloom.plans import fixtures as fx
+from gridloom.shared import new_path
+from gridloom.sources import files, generate
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+# Common table expressions of the oracles, each a graph or vector as (r, c, v) or (i, v).
+_CTE = {
+    "sp": "select l_suppkey as r, l_partkey as c, sum(l_quantity) as v from lineitem group by all",
+    "cp": "select o_custkey as r, l_partkey as c, count(*) as v from orders join lineitem on o_orderkey = l_orderkey group by all",
+    "heavy": "select distinct l_orderkey as o, l_partkey as p from lineitem where l_quantity > 40",
+    "cow": "select a.p as r, b.p as c, count(*) as v from heavy a join heavy b on a.o = b.o and a.p <> b.p group by all",
+    "co": "select r, c, 1::bigint as v from cow",
+    "ps": "select p_partkey as i, p_size::bigint as v from part",
+    "sn": "select s_suppkey as i, s_nationkey::bigint as v from supplier",
+    "cn": "select c_custkey as i, c_nationkey::bigint as v from customer",
+    "nr": "select n_nationkey::bigint as i, n_regionkey::bigint as v from nation",
+    "mask": "select i, i % 2 as v from sn where i % 3 = 0",
+    "eu": "select i, v from ps where i % 2 = 0",
+    "tv": "select i, 2 * v as v from ps where i % 3 = 0",
+    "kinds": "select event_type as k, row_number() over (order by event_type) - 1 as i from (select distinct event_type from events)",
+    "ev": """select a.i as r, b.i as c, count(*) as v from (
+               select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events
+             ) join kinds a on a.k = a join kinds b on b.k = b group by all""",
+    "uk": "select user_id as r, json_extract_string(props, '$.k')::bigint as c, count(*) as v from events where json_extract_string(props, '$.k') is not null group by all",
+    "em": "select vec_id as r, unnest(generate_series(0, len(embedding) - 1)) as c, unnest(embedding)::double as v from embeddings",
+}
+_NEEDS = {"cow": ["heavy"], "co": ["heavy", "cow"], "mask": ["sn"], "eu": ["ps"], "tv": ["ps"], "ev": ["kinds"]}
+
+
+def _with(ctes: str, body: str) -> str:
+    """The body behind the expressions it names, those that they need first."""
+    names: list[str] = []
+    for name in ctes.split():
+        names += [n for n in [*_NEEDS.get(name, []), name] if n not in names]
+    head = ", ".join(f"{n} as materialized ({_CTE[n]})" for n in names)
+    return f"with {head} {body}" if head else body
+
+
+def _query(name: str, ctes: str = "", sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = _with(ctes, sql)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# --- products -------------------------------------------------------------
+
+
+def _mxv(name: str, ring: al.Semiring, value: str) -> None:
+    @_query(name, "sp ps", f"select r as idx, {value} as val from sp join ps on sp.c = ps.i group by r")
+    def _(spark, d):
+        return ops.mxv(fx.supplier_part(spark, d), fx.part_size(spark, d), ring).df
+
+
+_mxv("mxv_plus_times", al.PLUS_TIMES, "sum(sp.v * ps.v)")
+_mxv("mxv_plus_second", al.PLUS_SECOND, "sum(ps.v)::bigint")
+_mxv("mxv_plus_pair", al.PLUS_PAIR, "count(*)")
+_mxv("mxv_min_second", al.MIN_SECOND, "min(ps.v)")
+_mxv("mxv_min_plus", al.MIN_PLUS, "min(sp.v + ps.v)")
+_mxv("mxv_min_ne", al.MIN_NE, "min((sp.v <> ps.v)::bigint)")
+_mxv("mxv_lor_land", al.LOR_LAND, "max((sp.v <> 0 and ps.v <> 0)::bigint)")
+_mxv("mxv_structural", al.STRUCTURAL, "1::bigint")
+_mxv("mxv_first_min", al.FIRST_MIN, "least(min(sp.v * ps.v), 0)")
+_mxv("mxv_first_wins", al.FIRST_WINS, "arg_min(sp.v * ps.v, sp.c)")
+_mxv("mxv_second_wins", al.SECOND_WINS, "arg_max(sp.v * ps.v, sp.c)")
+
+
+@_query("mxv_custom_semiring", "sp ps", "select r as idx, max(sp.v - ps.v) as val from sp join ps on sp.c = ps.i group by r")
+def _(spark, d):
+    ring = al.Semiring("max_minus", al.MAX_MONOID, al.MINUS)
+    return ops.mxv(fx.supplier_part(spark, d), fx.part_size(spark, d), ring).df
+
+
+@_query("vxm_plus_times", "sp sn", "select c as idx, sum(sn.v * sp.v) as val from sp join sn on sp.r = sn.i group by c")
+def _(spark, d):
+    return ops.vxm(fx.supplier_nation(spark, d), fx.supplier_part(spark, d)).df
+
+
+@_query("vxm_min_minus", "sp sn", "select c as idx, min(sn.v - sp.v) as val from sp join sn on sp.r = sn.i group by c")
+def _(spark, d):
+    ring = al.Semiring("min_minus", al.MIN_MONOID, al.MINUS)
+    return ops.vxm(fx.supplier_nation(spark, d), fx.supplier_part(spark, d), ring).df
+
+
+@_query("mxv_transposed", "sp sn", "select c as idx, sum(sp.v * sn.v) as val from sp join sn on sp.r = sn.i group by c")
+def _(spark, d):
+    return ops.mxv(fx.supplier_part(spark, d), fx.supplier_nation(spark, d), desc=Descriptor(transpose_a=True)).df
+
+
+@_query("customer_part_spmv", "cp ps", "select r as idx, sum(cp.v * ps.v)::bigint as val from cp join ps on cp.c = ps.i group by r")
+def _(spark, d):
+    return ops.mxv(fx.customer_part(spark, d), fx.part_size(spark, d)).df
+
+
+def _mask(spark: SparkSession, d: str) -> Vector:
+    """Every third supplier, odd ones true."""
+    v = fx.supplier_nation(spark, d)
+    return v.with_df(v.df.where("idx % 3 = 0").select("idx", (F.col("idx") % 2).alias("val")))
+
+
+_W = "w as (select r as i, sum(sp.v * ps.v) as v from sp join ps on sp.c = ps.i group by r)"
+
+
+def _masked(name: str, desc: Descriptor, where: str) -> None:
+    @_query(name, "sp ps mask", f"select r as idx, sum(sp.v * ps.v) as val from sp join ps on sp.c = ps.i where {where} group by r")
+    def _(spark, d):
+        return ops.mxv(fx.supplier_part(spark, d), fx.part_size(spark, d), mask=_mask(spark, d), desc=desc).df
+
+
+_masked("mxv_masked", Descriptor(), "r in (select i from mask where v <> 0)")
+_masked("mxv_masked_structure", S, "r in (select i from mask)")
+_masked("mxv_complement", C, "r not in (select i from mask where v <> 0)")
+_masked("mxv_structural_complement", SC, "r not in (select i from mask)")
+
+
+def _written(name: str, sql: str, mask: bool = False, **options) -> None:
+    @_query(name, "sp ps sn mask", f", {_W} {sql}")
+    def _(spark, d):
+        old = fx.supplier_nation(spark, d)
+        old = old.with_df(old.df.where("idx % 4 <> 1").withColumn("val", F.col("val").cast("double")))
+        return ops.mxv(fx.supplier_part(spark, d), fx.part_size(spark, d), mask=_mask(spark, d) if mask else None, out=old, **options).df
+
+
+_OLD = "(select i, v::double as v from sn where i % 4 <> 1)"
+_written("mxv_accum", f"select coalesce(w.i, o.i) as idx, coalesce(o.v + w.v, o.v, w.v) as val from w full outer join {_OLD} o on w.i = o.i", accum=al.PLUS)
+_written("mxv_replace", "select i as idx, v as val from w where i in (select i from mask)", mask=True, desc=S)
+_written(
+    "mxv_keep", f"select i as idx, v as val from w where i in (select i from mask) union all select i, v from {_OLD} where i not in (select i from mask)", mask=True, desc=S.set(replace=False)
+)
+_written(
+    "mxv_masked_accum_keep",
+    f"""select coalesce(w.i, o.i) as idx, coalesce(o.v + w.v, o.v, w.v) as val from (select * from w where i in (select i from mask)) w full outer join {_OLD} o on w.i = o.i""",
+    mask=True,
+    accum=al.PLUS,
+    desc=S.set(replace=False),
+)
+
+
+@_query("vxm_complement", "sp sn ps", "select c as idx, sum(sn.v * sp.v) as val from sp join sn on sp.r = sn.i where c not in (select i from ps where v > 25) group by c")
+def _(spark, d):
+    sizes = fx.part_size(spark, d)
+    mask = sizes.with_df(sizes.df.where("val > 25"))
+    return ops.vxm(fx.supplier_nation(spark, d), fx.supplier_part(spark, d), mask=mask, desc=C).df
+
+
+@_query("mxm_unmasked", "sp", 'select a.r as "row", b.r as "col", sum(a.v * b.v) as val from sp a join sp b on a.c = b.c group by all')
+def _(spark, d):
+    a = fx.supplier_part(spark, d)
+    return ops.mxm(a, a.T).df
+
+
+_TWO = 'select a.r as "row", b.c as "col", {} as val from {g} a join {g} b on a.c = b.r where {} (select 1 from {g} m where m.r = a.r and m.c = b.c) group by all'
+
+
+@_query("mxm_masked", "cow", _TWO.format("sum(a.v * b.v)::bigint", "exists", g="cow"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d, weighted=True)
+    return ops.mxm(a, a, mask=a, desc=Descriptor(strategy="ikj_masked")).df
+
+
+@_query("mxm_complement", "co", _TWO.format("sum(a.v * b.v)::bigint", "not exists", g="co"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    return ops.mxm(a, a, mask=a, desc=SC).df
+
+
+@_query("mxm_plus_pair_masked", "co", _TWO.format("count(*)", "exists", g="co"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    return ops.mxm(a, a, al.PLUS_PAIR, mask=a).df
+
+
+@_query("mxm_min_plus", "ev", 'select a.r as "row", b.c as "col", min(a.v + b.v) as val from ev a join ev b on a.c = b.r group by all')
+def _(spark, d):
+    a = fx.event_transitions(spark, d)
+    return ops.mxm(a, a, al.MIN_PLUS).df
+
+
+@_query("mxm_accum", "ev", 'select coalesce(p.r, o.r) as "row", coalesce(p.c, o.c) as "col", coalesce(o.v + p.v, o.v, p.v)::bigint as val from (select a.r, b.c, sum(a.v * b.v) as v from ev a join ev b on a.c = b.r group by all) p full outer join ev o on p.r = o.r and p.c = o.c')
+def _(spark, d):
+    a = fx.event_transitions(spark, d)
+    return ops.mxm(a, a, accum=al.PLUS, out=a).df
+
+
+@_query("mxm_embeddings_gram", "em", 'select a.c::bigint as "row", b.c::bigint as "col", round(sum(a.v * b.v), 4) as val from em a join em b on a.r = b.r group by all')
+def _(spark, d):
+    a = fx.embedding_matrix(spark, d)
+    return ops.mxm(a.T, a).df.withColumn("val", F.round("val", 4))
+
+
+# --- element-wise ---------------------------------------------------------
+
+
+def _even(spark, d) -> Vector:
+    v = fx.part_size(spark, d)
+    return v.with_df(v.df.where("idx % 2 = 0"))
+
+
+def _third(spark, d) -> Vector:
+    v = fx.part_size(spark, d)
+    return v.with_df(v.df.where("idx % 3 = 0").withColumn("val", 2 * F.col("val")))
+
+
+def _add(name: str, op, value: str, **options) -> None:
+    @_query(name, "eu tv", f"select coalesce(eu.i, tv.i) as idx, {value} as val from eu full outer join tv on eu.i = tv.i")
+    def _(spark, d):
+        return ops.ewise_add(_even(spark, d), _third(spark, d), op, **options).df
+
+
+def _union(value: str) -> str:
+    return f"case when eu.v is null then tv.v when tv.v is null then eu.v else {value} end"
+
+
+_add("ewise_add_plus", al.PLUS, _union("eu.v + tv.v"))
+_add("ewise_add_minus", al.MINUS, _union("eu.v - tv.v"))
+_add("ewise_add_min", al.MIN, _union("least(eu.v, tv.v)"))
+_add("ewise_add_max", al.MAX, _union("greatest(eu.v, tv.v)"))
+_add("ewise_add_first", al.FIRST, _union("eu.v"))
+_add("ewise_add_lor", al.LOR, _union("(eu.v <> 0 or tv.v <> 0)::bigint"))
+_add("ewise_add_semiring", al.MIN_PLUS, _union("least(eu.v, tv.v)"))
+_add("ewise_add_reference_zero", al.MIN, "least(coalesce(eu.v, 0), coalesce(tv.v, 0))", missing=0)
+_add("ewise_add_less_zero", al.LESS_PLUS, "(coalesce(eu.v, 0) < coalesce(tv.v, 0))::bigint", missing=0)
+
+
+def _mult(name: str, op, value: str, **options) -> None:
+    @_query(name, "eu tv", f"select eu.i as idx, {value} as val from eu join tv on eu.i = tv.i")
+    def _(spark, d):
+        return ops.ewise_mult(_even(spark, d), _third(spark, d), op, **options).df
+
+
+_mult("ewise_mult_times", al.TIMES, "eu.v * tv.v")
+_mult("ewise_mult_div", al.DIV, "eu.v::double / tv.v")
+_mult("ewise_mult_integer_div", al.integer_div(), "tv.v // eu.v * 0 + eu.v // tv.v")
+_mult("ewise_mult_ne", al.MIN_NE, "(eu.v <> tv.v)::bigint")
+_mult("ewise_mult_less", al.LESS, "(eu.v < tv.v)::bigint")
+_mult("ewise_mult_land", al.LAND, "(eu.v <> 0 and tv.v <> 0)::bigint")
+_mult("ewise_mult_second", al.SECOND, "tv.v")
+_mult("ewise_mult_pair", al.PAIR, "1::bigint")
+
+
+@_query("ewise_mult_masked", "eu tv ps", "select eu.i as idx, eu.v * tv.v as val from eu join tv on eu.i = tv.i where eu.i not in (select i from ps where v > 20)")
+def _(spark, d):
+    sizes = fx.part_size(spark, d)
+    return ops.ewise_mult(_even(spark, d), _third(spark, d), al.TIMES, mask=sizes.with_df(sizes.df.where("val > 20")), desc=C).df
+
+
+# --- apply and select -----------------------------------------------------
+
+
+def _on_sizes(name: str, make: Callable[[Vector], Vector], sql: str) -> None:
+    @_query(name, "ps", sql)
+    def _(spark, d):
+        return make(fx.part_size(spark, d)).df
+
+
+_on_sizes("apply_unary_abs", lambda u: ops.apply(al.ABS, ops.apply_second(al.MINUS, u, 25)), "select i as idx, abs(v - 25) as val from ps")
+_on_sizes("apply_bind_first_minus", lambda u: ops.apply_first(al.MINUS, 100, u), "select i as idx, 100 - v as val from ps")
+_on_sizes("apply_bind_second_div", lambda u: ops.apply_second(al.DIV, u, 4), "select i as idx, v::double / 4 as val from ps")
+_on_sizes("apply_identity_cast", lambda u: ops.apply(al.cast("double"), u), "select i as idx, v::double as val from ps")
+_on_sizes("apply_masked_accum", lambda u: ops.apply(lambda x: x * 10, u, mask=u.with_df(u.df.where("idx % 5 = 0")), accum=al.PLUS, out=u, desc=Descriptor(replace=False)), "select i as idx, case when i % 5 = 0 and v <> 0 then 11 * v else v end as val from ps")
+_on_sizes("apply_index", lambda u: ops.apply_index(lambda x, i, j, t: x + i + t, u, 1), "select i as idx, v + i + 1 as val from ps")
+_on_sizes("select_value", lambda u: ops.select(lambda x, i, j, t: x > t, u, 30), "select i as idx, v as val from ps where v > 30")
+_on_sizes("select_index", lambda u: ops.select(lambda x, i, j, t: i % t == 0, u, 7), "select i as idx, v as val from ps where i % 7 = 0")
+
+
+def _on_co(name: str, make: Callable[[Matrix], DataFrame], sql: str, weighted: bool = True) -> None:
+    @_query(name, "cow", sql)
+    def _(spark, d):
+        return make(fx.co_purchase(spark, d, weighted))
+
+
+_CELLS = 'select r as "row", c as "col", {} as val from cow'
+_on_co("select_matrix_value", lambda a: ops.select_matrix(lambda x, i, j, t: x >= t, a, 2).df, _CELLS.format("v") + " where v >= 2")
+_on_co("select_matrix_tril", lambda a: a.tril(-1).df, _CELLS.format("v") + " where c < r")
+_on_co("select_matrix_triu", lambda a: a.triu(1).df, _CELLS.format("v") + " where c > r")
+_on_co("apply_index_matrix", lambda a: ops.apply_index_matrix(lambda x, i, j, t: x * t + i - j, a, 3).df, _CELLS.format("v * 3 + r - c"))
+_on_co("apply_matrix", lambda a: ops.apply_matrix(lambda x: x * x, a).df, _CELLS.format("v * v"))
+_on_co("transpose", lambda a: a.tril().T.df, 'select c as "row", r as "col", v as val from cow where c < r')
+_on_co("symmetrize", lambda a: a.tril().symmetrize().df, _CELLS.format("v"))
+_on_co("reduce_matrix_plus", lambda a: ops.reduce_table(a, al.PLUS_MONOID), "select sum(v)::bigint as val from cow")
+_on_co("reduce_matrix_max", lambda a: ops.reduce_table(a, al.MAX_MONOID), "select max(v) as val from cow")
+_on_co("nnz", lambda a: a.df.agg(F.count("*").alias("n")), "select count(*) as n from cow")
+
+
+@_query("is_symmetric", "cow", "select (not exists (select r, c from cow except select c, r from cow))::bigint as symmetric, 0::bigint as lower_symmetric")
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    return spark.range(1).select(F.lit(int(a.is_symmetric())).cast("long").alias("symmetric"), F.lit(int(a.tril().is_symmetric())).cast("long").alias("lower_symmetric"))
+
+
+@_query("matrix_diff", "co cow", "select r as \"row\", c as \"col\", 'left' as side from cow where v < 2 and c > r union all select r, c, 'right' from cow where v >= 2 and c < r")
+def _(spark, d):
+    a = fx.co_purchase(spark, d, weighted=True)
+    return a.triu().diff(Matrix(a.df.where("val >= 2"), a.nrows, a.ncols))
+
+
+@_query("dedup_edges", "", 'select l_suppkey as "row", l_partkey as "col", min(l_quantity) as val from lineitem where l_suppkey <> l_partkey group by all')
+def _(spark, d):
+    lines = fx.table(spark, d, "lineitem")
+    return Matrix.from_table(lines, "l_suppkey", "l_partkey", "l_quantity", 0, 0).dedup().df
+
+
+@_query("build_keeps_duplicates", "", 'select l_suppkey as "row", l_partkey as "col", l_quantity as val from lineitem')
+def _(spark, d):
+    return Matrix.from_table(fx.table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", 0, 0).df
+
+
+@_query("self_loops", "", "select l_suppkey as idx, count(*) as val from lineitem where l_suppkey = l_partkey group by 1")
+def _(spark, d):
+    return Matrix.from_table(fx.table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", 0, 0).self_loops().df
+
+
+# --- assign, extract, reduce ----------------------------------------------
+
+_on_sizes("assign_scalar_mask", lambda w: ops.assign_scalar(w, 7, mask=w.with_df(w.df.where("val > 25"))), "select i as idx, case when v > 25 then 7 else v end as val from ps")
+_on_sizes("assign_scalar_complement", lambda w: ops.assign_scalar(w, 7, mask=w.with_df(w.df.where("val > 25")), desc=C.set(replace=False)), "select i as idx, case when v > 25 then v else 7 end as val from ps")
+_on_sizes("assign_scalar_indices", lambda w: ops.assign_scalar(w, 0, [1, 3, 5]), "select i as idx, case when i in (1, 3, 5) then 0 else v end as val from ps")
+_on_sizes("assign_scalar_accum", lambda w: ops.assign_scalar(w, 100, [0, 2], accum=al.PLUS), "select i as idx, case when i in (0, 2) then 100 + v else v end as val from ps")
+_on_sizes("assign_vector_mask", lambda w: ops.assign_vector(w, w.with_df(w.df.where("idx % 2 = 0").withColumn("val", -F.col("val"))), mask=w.with_df(w.df.where("val > 25"))), "select i as idx, case when i % 2 = 0 and v > 25 then -v else v end as val from ps")
+_on_sizes("assign_vector_indices", lambda w: ops.assign_vector(w, w, [9, 8, 7]), "select a.i as idx, coalesce(b.v, a.v) as val from ps a left join ps b on a.i in (9, 8, 7) and b.i = 9 - a.i")
+_on_sizes("set_element", lambda w: w.set_element(-1, 4), "select i as idx, case when i = 4 then -1 else v end as val from ps")
+_on_sizes("fill", lambda w: w.fill(3), "select i as idx, 3::integer as val from ps")
+_on_sizes("fill_ascending", lambda w: Vector.ascending(w.df.sparkSession, w.size), "select i as idx, i as val from ps")
+_on_sizes("clear", lambda w: w.clear(), "select i as idx, v as val from ps where false")
+_on_sizes("vector_dense", lambda w: w.with_df(w.df.where("idx % 2 = 0")).dense(), "select i as idx, case when i % 2 = 0 then v else 0 end as val from ps")
+_on_sizes("vector_sparse", lambda w: ops.apply_second(al.MINUS, w, 10).sparse(), "select i as idx, v - 10 as val from ps where v <> 10")
+_on_sizes("exclusive_scan", lambda w: scan.exclusive_scan(w), "select i as idx, coalesce(sum(v) over (order by i rows between unbounded preceding and 1 preceding), 0)::bigint as val from ps union all select count(*), sum(v)::bigint from ps")
+
+
+@_query("copy_if", "ps", "select row_number() over (order by i) - 1 as pos, i as idx, v as val from ps where v > 40")
+def _(spark, d):
+    return scan.copy_if(fx.part_size(spark, d), lambda i, v: v > 40)
+
+
+@_query("count_if", "ps", "select count(*) as n from ps where v = 10")
+def _(spark, d):
+    return spark.range(1).select(F.lit(scan.count_if(fx.part_size(spark, d), 10)).cast("long").alias("n"))
+
+
+@_query("vector_diff_tol", "ps", "select i as idx, v::double as \"left\", v + 0.002::double as \"right\" from ps where i % 10 = 0")
+def _(spark, d):
+    v = fx.part_size(spark, d)
+    v = v.with_df(v.df.withColumn("val", F.col("val").cast("double")))
+    moved = F.col("val") + F.when(F.col("idx") % 10 == 0, 0.002).otherwise(0.0005)
+    return v.diff(v.with_df(v.df.withColumn("val", moved)))
+
+
+@_query("assign_at", "cn nr", "select i as idx, case when i in (select v from cn) then -1 else v end as val from nr")
+def _(spark, d):
+    return ops.assign_at(fx.nation_region(spark, d), -1, fx.customer_nation(spark, d)).df
+
+
+@_query("assign_scatter_min", "cn nr", "select nr.i as idx, coalesce(m.v, nr.v) as val from nr left join (select v as i, min(i) as v from cn group by 1) m on nr.i = m.i")
+def _(spark, d):
+    targets = fx.customer_nation(spark, d)
+    return ops.scatter(fx.nation_region(spark, d), Vector.ascending(spark, targets.size), targets).df
+
+
+@_query("scatter_accum_plus", "cn nr", "select nr.i as idx, nr.v + coalesce(m.v, 0)::bigint as val from nr left join (select v as i, sum(i) as v from cn group by 1) m on nr.i = m.i")
+def _(spark, d):
+    targets = fx.customer_nation(spark, d)
+    return ops.scatter(fx.nation_region(spark, d), Vector.ascending(spark, targets.size), targets, accum=al.PLUS, dup=al.PLUS_MONOID).df
+
+
+@_query("extract_gather", "cn nr", "select cn.i as idx, nr.v as val from cn join nr on cn.v = nr.i")
+def _(spark, d):
+    return ops.extract(fx.nation_region(spark, d), fx.customer_nation(spark, d)).df
+
+
+@_query("extract_masked", "cn nr", "select cn.i as idx, nr.v as val from cn join nr on cn.v = nr.i where cn.v <> 0")
+def _(spark, d):
+    at = fx.customer_nation(spark, d)
+    return ops.extract(fx.nation_region(spark, d), at, mask=at).df
+
+
+@_query("reorder", "ps", "select (select count(*) from ps) - 1 - i as idx, v as val from ps")
+def _(spark, d):
+    v = fx.part_size(spark, d)
+    return scan.reorder(v, v.df.select("idx", (F.lit(v.size - 1) - F.col("idx")).alias("rank"))).df
+
+
+def _reduced(name: str, monoid: al.Monoid, value: str) -> None:
+    @_query(name, "ps", f"select {value} as val from ps")
+    def _(spark, d):
+        return ops.reduce_table(fx.part_size(spark, d), monoid)
+
+
+_reduced("reduce_vector_plus", al.PLUS_MONOID, "sum(v)::bigint")
+_reduced("reduce_vector_min", al.MIN_MONOID, "min(v)")
+_reduced("reduce_vector_max", al.MAX_MONOID, "max(v)")
+_reduced("reduce_vector_or", al.LOR_MONOID, "max((v <> 0)::bigint)")
+_reduced("reduce_vector_first", al.FIRST_MONOID, "arg_min(v, i)")
+_reduced("reduce_vector_second", al.SECOND_MONOID, "arg_max(v, i)")
+_reduced("reduce_vector_first_min", al.FIRST_MIN_MONOID, "least(min(v), 0)")
+
+
+@_query("reduce_accum", "ps", "select 1000 + sum(v)::bigint as val from ps")
+def _(spark, d):
+    return spark.range(1).select(F.lit(ops.reduce(fx.part_size(spark, d), al.PLUS_MONOID, al.PLUS, 1000)).cast("long").alias("val"))
+
+
+@_query("reduce_include_zeros", "eu", "select 0::bigint as val")
+def _(spark, d):
+    return ops.reduce_table(_even(spark, d), al.MIN_MONOID, include_zeros=True)
+
+
+# --- structure ------------------------------------------------------------
+
+
+@_query("degrees_row", "sp sn", "select sn.i as idx, count(sp.r) as val from sn left join sp on sp.r = sn.i group by 1")
+def _(spark, d):
+    return fx.supplier_part(spark, d).degrees("row").df
+
+
+@_query("degrees_col", "sp ps", "select ps.i as idx, count(sp.c) as val from ps left join sp on sp.c = ps.i group by 1")
+def _(spark, d):
+    return fx.supplier_part(spark, d).degrees("col").df
+
+
+@_query("nvals", "ps", "select count(*) filter (where v <> 10) as n from ps")
+def _(spark, d):
+    return spark.range(1).select(F.lit(ops.apply_second(al.MINUS, fx.part_size(spark, d), 10).nvals()).cast("long").alias("n"))
+
+
+_DEGREES = "select ps.i, count(co.r) as d from ps left join co on co.r = ps.i group by 1"
+
+
+@_query("degree_relabel", "co ps", f"select i as idx, d as degree, row_number() over (order by d desc, i) - 1 as rank from ({_DEGREES})")
+def _(spark, d):
+    return fx.co_purchase(spark, d).degree_order()
+
+
+@_query("relabel_matrix", "co ps", f'select a.k as "row", b.k as "col", 1::bigint as val from co join (select i, row_number() over (order by d desc, i) - 1 as k from ({_DEGREES})) a on co.r = a.i join (select i, row_number() over (order by d desc, i) - 1 as k from ({_DEGREES})) b on co.c = b.i')
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    return a.relabel(a.degree_order().select("idx", "rank")).df
+
+
+@_query("sorted_csr", "cow", 'select row_number() over (order by r, c) - 1 as pos, r as "row", c as "col", v as val from cow')
+def _(spark, d):
+    return fx.co_purchase(spark, d, weighted=True).sorted("row").select("pos", "row", "col", "val")
+
+
+@_query("sorted_csc", "cow", 'select row_number() over (order by c, r) - 1 as pos, r as "row", c as "col", v as val from cow')
+def _(spark, d):
+    return fx.co_purchase(spark, d, weighted=True).sorted("col").select("pos", "row", "col", "val")
+
+
+@_query("csr_row_ptr", "co ps", f'select i as "row", coalesce(sum(d) over (order by i rows between unbounded preceding and 1 preceding), 0)::bigint as ptr from ({_DEGREES}) union all select (select count(*) from ps), (select count(*) from co)')
+def _(spark, d):
+    return fx.co_purchase(spark, d).row_pointers()
+
+
+@_query("build_from_csr", "cow", _CELLS.format("v"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d, weighted=True)
+    return Matrix.from_csr(a.row_pointers(), a.sorted("row").select("pos", "col", "val"), a.nrows, a.ncols).df
+
+
+@_query("non_trivial_vertex", "co", "select min(r) as idx from co where r in (select c from co)")
+def _(spark, d):
+    return spark.range(1).select(F.lit(fx.co_purchase(spark, d).non_trivial_vertex()).cast("long").alias("idx"))
+
+
+@_query("event_transition_matrix", "ev", 'select r as "row", c as "col", v as val from ev')
+def _(spark, d):
+    return fx.event_transitions(spark, d).df
+
+
+@_query("user_key_matrix", "uk", 'select r as "row", c as "col", v as val from uk')
+def _(spark, d):
+    return fx.user_key(spark, d).df
+
+
+# --- files and generators -------------------------------------------------
+
+
+@_query("mtx_lines", "co ps", """select -2::bigint as pos, '%%MatrixMarket matrix coordinate pattern general' as value
+  union all select -1, (select count(*) from ps) || ' ' || (select count(*) from ps) || ' ' || (select count(*) from co)
+  union all select row_number() over (order by r, c) - 1, (r + 1) || ' ' || (c + 1) from co""")
+def _(spark, d):
+    return files.mtx_lines(fx.co_purchase(spark, d))
+
+
+@_query("mtx_round_trip", "co", 'select r as "row", c as "col", v as val from co')
+def _(spark, d):
+    path = new_path(spark, "graph") + ".mtx"
+    files.write_mtx(fx.co_purchase(spark, d), path)
+    return files.read_mtx(spark, path, strict=True).df
+
+
+@_query("dot_lines", "cow", """select 0 as part, 0::bigint as "row", 0::bigint as "col", 'digraph G {' as value union all select 3, 0, 0, '}'
+  union all select 2, r, c, r || ' -> ' || c || ' [label = "' || v || '"];' from cow""")
+def _(spark, d):
+    return files.dot_lines(fx.co_purchase(spark, d, weighted=True))
+
+
+_STENCIL = """s as (
+  select a.i as r, x.d + a.x + (y.d + a.y) * 5 + (z.d + a.z) * 20 as c,
+         case when x.d = 0 and y.d = 0 and z.d = 0 then 26 else -1 end::bigint as v
+  from (select i, i % 5 as x, (i // 5) % 4 as y, i // 20 as z from range(60) t(i)) a,
+       (values (-1), (0), (1)) x(d), (values (-1), (0), (1)) y(d), (values (-1), (0), (1)) z(d)
+  where a.x + x.d between 0 and 4 and a.y + y.d between 0 and 3 and a.z + z.d between 0 and 2)"""
+
+
+@_query("hpcg_matrix", "", f'with {_STENCIL} select r as "row", c as "col", v as val from s')
+def _(spark, d):
+    return generate.stencil(spark, 5, 4, 3).df
+
+
+@_query("hpcg_spmv", "", f"with {_STENCIL} select r as idx, sum(v * c)::bigint as val from s group by r")
+def _(spark, d):
+    return ops.mxv(generate.stencil(spark, 5, 4, 3), Vector.ascending(spark, 60)).df
+
+
+@_query("random_uniform_graph")
+def _(spark, d):
+    return generate.random_uniform(spark, 10, 8, seed=1).df
+
+
+@_query("rmat_graph")
+def _(spark, d):
+    return generate.rmat(spark, 10, 8, seed=1).df
+
+
+# --- algorithms -----------------------------------------------------------
+
+
+def _rounds(graph: str, start: str, value: str, rounds: int, body: str) -> str:
+    """Chained relaxations: each keeps the least of a vertex's value and what its edges offer."""
+    steps = [f"l0 as materialized ({start})"]
+    for k in range(1, rounds + 1):
+        steps.append(f"l{k} as materialized (select i, min(x) as x from (select i, x from l{k - 1} union all select c, {value} from l{k - 1} join {graph} on r = i) group by i)")
+    return ", " + ", ".join(steps) + " " + body.format(last=f"l{rounds}")
+
+
+_FROM_0 = "select 0::bigint as i, {}::bigint as x"
+
+
+@_query("bfs_levels", "co", _rounds("co", _FROM_0.format(1), "x + 1", 24, "select i as idx, x as level from {last}"))
+def _(spark, d):
+    return alg.bfs(fx.co_purchase(spark, d), 0)
+
+
+@_query("bfs_parents", "co", _rounds("co", _FROM_0.format(1), "x + 1", 24, "select i as idx, x as level, case when x = 1 then i else (select min(p.i) from {last} p join co on p.i = r where c = q.i and p.x = q.x - 1) end as parent from {last} q"))
+def _(spark, d):
+    return alg.bfs(fx.co_purchase(spark, d), 0, parents=True)
+
+
+@_query("sssp_unit", "co", _rounds("co", _FROM_0.format(0), "x + 1", 24, "select i as idx, x as dist from {last}"))
+def _(spark, d):
+    return alg.sssp(fx.co_purchase(spark, d), 0)
+
+
+_LONG = "g as materialized (select r, c, 1 + (r * 7 + c * 7) % 10 as v from co)"
+
+
+@_query("sssp_weighted", "co", ", " + _LONG + _rounds("g", _FROM_0.format(0), "x + v", 24, "select i as idx, x as dist from {last}"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    return alg.sssp(a.with_df(a.df.withColumn("val", 1 + (F.col("row") * 7 + F.col("col") * 7) % 10)), 0)
+
+
+@_query("sssp_reached", "co", _rounds("co", _FROM_0.format(0), "x + 1", 24, "select count(*) as reached from {last}"))
+def _(spark, d):
+    return alg.reached(alg.sssp(fx.co_purchase(spark, d), 0))
+
+
+_OWN = "select i, i as x from ps"
+
+
+@_query("cc_labels", "co ps", _rounds("co", _OWN, "x", 24, "select i as idx, x as label from {last}"))
+def _(spark, d):
+    return alg.connected_components(fx.co_purchase(spark, d))
+
+
+@_query("cc_count", "co ps", _rounds("co", _OWN, "x", 24, "select count(distinct x) as components from {last}"))
+def _(spark, d):
+    return alg.component_count(alg.connected_components(fx.co_purchase(spark, d)))
+
+
+@_query("label_bijection", "", "select 1::bigint as same")
+def _(spark, d):
+    labels = alg.connected_components(fx.co_purchase(spark, d))
+    return alg.label_bijection(labels, labels.withColumn("label", F.col("label") * 3 + 1))
+
+
+def _pagerank_sql(source: str, target: str, iterations: int = 10) -> str:
+    """``source`` passes rank on to ``target``."""
+    steps = [
+        "n as materialized (select count(*)::double as n from ps)",
+        f"deg as materialized (select ps.i, count({source}) as d from ps left join co on co.{source} = ps.i group by 1)",
+        "p0 as materialized (select i, 1 / n.n as x from ps, n)",
+    ]
+    for k in range(1, iterations + 1):
+        steps.append(
+            f"""p{k} as materialized (
+              select ps.i, (1 - 0.85::double) / n.n + 0.85::double / n.n * t.lost + coalesce(g.x, 0) as x
+              from ps cross join n cross join (select coalesce(sum(x), 0) as lost from p{k - 1} join deg on deg.i = p{k - 1}.i where d = 0) t
+              left join (select {target} as i, sum(p.x * 0.85::double / deg.d) as x from co join p{k - 1} p on p.i = co.{source} join deg on deg.i = p.i group by 1) g on g.i = ps.i)"""
+        )
+    return ", " + ", ".join(steps) + f" select i as idx, round(x, 9) as rank from p{iterations}"
+
+
+@_query("pagerank_10", "co ps", _pagerank_sql("c", "r"))
+def _(spark, d):
+    return alg.pagerank(fx.co_purchase(spark, d), 10).withColumn("rank", F.round("rank", 9))
+
+
+_DIRECTED = _pagerank_sql("r", "c").replace(" co ", " low ").replace("co.", "low.")
+
+
+@_query("pagerank_10_standard", "co ps", ", low as materialized (select * from co where c < r)" + _DIRECTED)
+def _(spark, d):
+    return alg.pagerank(fx.co_purchase(spark, d).tril(), 10, direction="standard").withColumn("rank", F.round("rank", 9))
+
+
+_TRIANGLES = "select count(*) as triangles from co a join co b on a.c = b.r and a.r < a.c and a.c < b.c join co t on t.r = a.r and t.c = b.c"
+
+
+def _triangles(name: str, method: str) -> None:
+    @_query(name, "co", _TRIANGLES)
+    def _(spark, d):
+        return alg.triangle_count(fx.co_purchase(spark, d), method)
+
+
+for _method in alg.TRIANGLE_METHODS:
+    _triangles(f"tc_{_method}", _method)
+
+
+@_query("tc_oriented", "co", _TRIANGLES)
+def _(spark, d):
+    return alg.triangle_table(fx.co_purchase(spark, d)).agg(F.count("*").alias("triangles"))
+
+
+@_query("tc_presorted", "co", _TRIANGLES)
+def _(spark, d):
+    return alg.triangle_count(fx.co_purchase(spark, d), "sandia", presort=True)
+
+
+@_query("tc_per_vertex", "co", "select i as idx, count(*) as triangles from (select unnest([a.r, a.c, b.c]) as i from co a join co b on a.c = b.r and a.r < a.c and a.c < b.c join co t on t.r = a.r and t.c = b.c) group by i")
+def _(spark, d):
+    return alg.triangles_per_vertex(fx.co_purchase(spark, d))
+
+
+@_query("tc_trace", "co", "select (count(*) * 6)::bigint as trace from co a join co b on a.c = b.r and a.r < a.c and a.c < b.c join co t on t.r = a.r and t.c = b.c")
+def _(spark, d):
+    return spark.range(1).select(F.lit(alg.trace_cubed(fx.co_purchase(spark, d))).cast("long").alias("trace"))
