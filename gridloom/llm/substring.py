@@ -72,7 +72,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             for part in chunks(batch):
                 words = Words(part.column(1))
                 low = window_anchors(words.hashes(), window).view(np.int64)
-                lists = [_changes(low, a, b - window + 1) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+                lists = [_changes(low, a, max(a, b - window + 1)) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "anchors"])
@@ -96,7 +96,7 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
                 rows = []
                 for i, doc in enumerate(part.column(0).to_pylist()):
                     a, b = words.bounds[i], words.bounds[i + 1]
-                    own = low[a : b - window + 1]
+                    own = low[a : max(a, b - window + 1)]
                     order = np.argsort(anchors[at[i] : at[i + 1]], kind="stable")
                     known, route = anchors[at[i] : at[i + 1]][order], routes[at[i] : at[i + 1]][order]
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
