@@ -73,8 +73,8 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _linked(x: np.ndarray, bounds: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of cosine at least the threshold within each group; across its two sides where it has two."""
+def _linked(x: np.ndarray, bounds: np.ndarray, cross: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of cosine at least the threshold within each group; in ``cross`` groups between its two sides only."""
     size, pairs = np.diff(bounds), []
     for k in np.unique(size[(size > 1) & (size <= SMALL)]):
         for firsts in np.array_split(bounds[:-1][size == k], max(1, int((size == k).sum() * k * k // 500_000))):
@@ -82,8 +82,8 @@ def _linked(x: np.ndarray, bounds: np.ndarray, side: np.ndarray, threshold: floa
             g, i, j = np.nonzero(np.triu(np.matmul(x[at], x[at].transpose(0, 2, 1)) >= threshold, 1))
             pairs.append((at[g, i], at[g, j]))
     for a, b in zip(bounds[:-1][size > SMALL], bounds[1:][size > SMALL], strict=True):
-        left, right = (a + np.flatnonzero(side[a:b] == s) for s in (0, 1))
-        if len(left) and len(right):
+        if cross[a]:
+            left, right = (a + np.flatnonzero(side[a:b] == s) for s in (0, 1))
             i, j = np.nonzero(x[left] @ x[right].T >= threshold)
             pairs.append((left[i], right[j]))
         else:
@@ -91,9 +91,7 @@ def _linked(x: np.ndarray, bounds: np.ndarray, side: np.ndarray, threshold: floa
             pairs.append((a + i, a + j))
     empty = np.zeros(0, np.int64)
     i, j = (np.concatenate([empty, *(p[s] for p in pairs)]) for s in (0, 1))
-    # a small group of two sides was compared whole
-    across = np.repeat(np.add.reduceat(side, bounds[:-1]) > 0, size)[i] if len(i) else np.zeros(0, bool)
-    keep = ~across | (side[i] != side[j])
+    keep = ~cross[i] | (side[i] != side[j])  # small groups were compared whole
     return i[keep], j[keep]
 
 
@@ -101,8 +99,8 @@ def _compare(batch: pa.Table, bounds: np.ndarray, threshold: float) -> pa.Record
     """(id, n, root) for the rows of whole groups: links counted in their first table only, and a link that joins."""
     key = np.stack([batch[c].to_numpy() for c in ("t", "sub", "i", "j")])
     x = _matrix(batch["embedding"].combine_chunks())
-    side = ((key[2] != key[3]) & (batch["block"].to_numpy() == key[3])).astype(np.int64)
-    i, j = _linked(x, bounds, side, threshold)
+    cross = key[2] != key[3]
+    i, j = _linked(x, bounds, cross, batch["block"].to_numpy() == key[3], threshold)
     ids, weight = batch["id"].to_numpy(), batch["weight"].to_numpy()
     keys = np.asarray(batch["keys"].combine_chunks().flatten()).reshape(batch.num_rows, -1)
     # of the tables in which a pair meets the first counts it
