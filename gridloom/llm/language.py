@@ -32,6 +32,8 @@ EVIDENCE = 200
 #: if they are also this share of the way towards what texts of other languages have under the same model;
 #: documents that mix languages lie about half way and stay.
 REJECT_SIGMAS, REJECT_SHARE = 8.0, 0.8
+#: With fewer held-aside texts nothing is rejected for its cross-entropy.
+LEAST_CALIBRATION = 20
 #: Words remembered by a Python worker.
 REMEMBERED = 400_000
 UNDETERMINED = "und"
@@ -228,10 +230,12 @@ def train(samples: dict[str, list[str]]) -> Model:
         model.mean[c] = entropy.mean() if len(entropy) else math.log(max(2, alphabet))
         wide = np.sqrt(np.mean((entropy - model.mean[c]) ** 2 * np.minimum(n[ok], EVIDENCE))) if len(entropy) > 1 else 1.0
         model.spread[c] = max(wide, 0.5)
+    calibrated = sum(int((n > 0).sum()) for _, n in aside_scores) >= LEAST_CALIBRATION
     for c in range(len(languages)):
         # an alphabet of evenly likely symbols stands in where there is one language alone
         others = [-scores[n > 0, c] / n[n > 0] for o, (scores, n) in enumerate(aside_scores) if o != c]
         model.foreign[c] = np.mean(np.concatenate(others)) if others and sum(map(len, others)) else math.log(max(2, alphabet))
+        model.foreign[c] = model.foreign[c] if calibrated else np.inf
     return model
 
 
