@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Remembered pre-tokens and fragments per Python worker; beyond it the store is emptied.
+#: Pre-tokens, and fragments of cut ones, that a Python worker remembers; up to twice as many are held.
 CACHE_ENTRIES = 300_000
 #: Text bytes whose results go into one Arrow batch.
 BATCH_BYTES = 4 << 20
@@ -56,16 +56,20 @@ def unstable_chars() -> re.Pattern:
 
 
 class _Remembered(dict):
-    """A bounded map that computes what it misses."""
+    """A map that computes what it misses; when full, only what is asked for again is carried over."""
 
     def __init__(self, compute, entries: int):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.before = compute, entries, {}
 
     def __missing__(self, key):
         if len(self) >= self.entries:
+            self.before = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -79,7 +83,7 @@ class ForcedBoundaryBpe:
         self._path, self._library = path, None
         self._suffix = model["end_of_word_suffix"] or ""
         self._vocab = model["vocab"]
-        self._ranks = {(a, b): (rank, a.removesuffix(self._suffix) + b if self._suffix else a + b) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
+        self._ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
         self._inside = {pair for token in self._vocab for pair in self._pairs(self._symbols_of(token))}
         self._bytes = byte_symbols()
         self._special = [t["content"] for t in spec["added_tokens"]]
@@ -117,7 +121,8 @@ class ForcedBoundaryBpe:
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True) if a < b]
 
     def _encode_word(self, word: str) -> bytes:
-        return b"".join([self._fragments[f] for f in self.fragments(word)])
+        cut = self.fragments(word)
+        return self._encode_fragment(cut[0]) if len(cut) == 1 else b"".join([self._fragments[f] for f in cut])
 
     def _encode_fragment(self, symbols: tuple[str, ...]) -> bytes:
         merged = self._merge_short(list(symbols)) if len(symbols) <= 32 else self._merge_long(list(symbols))
@@ -125,33 +130,36 @@ class ForcedBoundaryBpe:
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
         """The lowest-ranked pair first, the leftmost among equals."""
-        ranks = self._ranks
-        while len(symbols) > 1:
-            found = [(r[0], i, r[1]) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := ranks.get(pair))]
-            if not found:
-                break
-            _, i, merged = min(found)
-            symbols[i : i + 2] = [merged]
+        get, none = self._ranks.get, len(self._ranks)
+        ranks = [get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            symbols[i] += symbols.pop(i + 1)  # only the last symbol ends in the suffix
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
         """As _merge_short, in n log n steps."""
         n = len(symbols)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(r[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self._ranks.get((symbols[i], symbols[i + 1])))]
+        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self._ranks.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(heap)
 
         def push(i: int) -> None:
             j = after[i]
-            if j >= 0 and (r := self._ranks.get((symbols[i], symbols[j]))):
-                heapq.heappush(heap, (r[0], i, symbols[i], symbols[j]))
+            if j >= 0 and (r := self._ranks.get((symbols[i], symbols[j]))) is not None:
+                heapq.heappush(heap, (r, i, symbols[i], symbols[j]))
 
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = after[i]
             if symbols[i] != a or j < 0 or symbols[j] != b:
                 continue
-            symbols[i], symbols[j] = self._ranks[a, b][1], ""
+            symbols[i], symbols[j] = a + b, ""
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
