@@ -151,10 +151,12 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     hot = recurring.groupBy("home").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ANCHORS).select("home", F.lit(True).alias("hot"))
     route = F.when(F.col("hot"), F.xxhash64("home", "anchor")).otherwise(F.xxhash64("home"))
     routed = recurring.join(hot, "home", "left").select("anchor", route.alias("route"), _again("anchor"))
-    hits = each.select("*", _again("anchor")).join(routed, ["anchor", "again"]).groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "route")).alias("hits"))
-    passages = materialize(_passages(docs.join(hits, "doc_id").select("doc_id", "text", "hits"), window), "passages")
+    # written before the texts join, so their shuffles do not lie on disk together
+    hits = materialize(each.select("*", _again("anchor")).join(routed, ["anchor", "again"]).groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "route")).alias("hits")), "hits")
     release(anchors)
     release(recurring)
+    passages = materialize(_passages(docs.join(hits, "doc_id").select("doc_id", "text", "hits"), window), "passages")
+    release(hits)
     # copies of a passage collapse before anything is gathered
     distinct = passages.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("d1", "d2", "at.doc_id", "at.start", _again("d1"))
     distinct = materialize(passages.select("*", _again("d1")).join(distinct, ["d1", "d2", "doc_id", "start", "again"]).drop("again"), "distinct")
