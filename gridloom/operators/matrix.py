@@ -55,6 +55,19 @@ class Matrix:
         placed = spans.select("row", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
         return Matrix(placed.join(entries, "pos").select("row", "col", "val"), nrows, ncols)
 
+    @staticmethod
+    def from_lists(spark: SparkSession, lists: Sequence[Sequence[tuple[int, object]]], kind: str = "double") -> Matrix:
+        """From the (col, val) pairs of each row."""
+        triples = [(r, c, v) for r, row in enumerate(lists) for c, v in row]
+        rows, cols, vals = ([t[i] for t in triples] for i in range(3))
+        a = Matrix.build(spark, rows, cols, vals, kind)
+        n = max(len(lists), a.nrows)
+        return Matrix(a.df, n, n)
+
+    def lists(self) -> DataFrame:
+        """(row, entries): the (col, val) pairs of each row that has any, by col."""
+        return self.df.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("entries"))
+
     @property
     def T(self) -> Matrix:
         """The transpose: columns renamed, nothing moved."""

@@ -99,6 +99,21 @@ def _(spark, d):
     return ops.mxv(fx.supplier_part(spark, d), fx.part_size(spark, d), ring).df
 
 
+@_query("mxv_custom_fold", "sp sn", "select c as idx, list_reduce(list_prepend(0::double, list(sn.v - sp.v order by r)), lambda a, b: b - a) as val from sp join sn on sp.r = sn.i group by c")
+def _(spark, d):
+    # neither associative nor commutative: the order of the rows decides
+    backwards = al.BinaryOp("backwards", lambda total, x: x - total)
+    ring = al.Semiring("backwards_minus", al.fold_monoid(backwards, 0.0), al.MINUS)
+    return ops.vxm(fx.supplier_nation(spark, d), fx.supplier_part(spark, d), ring).df
+
+
+@_query("spmv_app", "sp ps", "select r as idx, sum(sp.v * case when c % 1000 = 0 then 5 else 1 end) as val from sp group by r")
+def _(spark, d):
+    a = fx.supplier_part(spark, d)
+    u = Vector.filled(spark, a.ncols, 1)
+    return ops.mxv(a, u.with_df(u.df.withColumn("val", F.when(F.col("idx") % 1000 == 0, 5).otherwise(F.col("val"))))).df
+
+
 @_query("vxm_plus_times", "sp sn", "select c as idx, sum(sn.v * sp.v) as val from sp join sn on sp.r = sn.i group by c")
 def _(spark, d):
     return ops.vxm(fx.supplier_nation(spark, d), fx.supplier_part(spark, d)).df
@@ -287,6 +302,8 @@ _on_sizes("apply_bind_second_div", lambda u: ops.apply_second(al.DIV, u, 4), "se
 _on_sizes("apply_identity_cast", lambda u: ops.apply(al.cast("double"), u), "select i as idx, v::double as val from ps")
 _on_sizes("apply_masked_accum", lambda u: ops.apply(lambda x: x * 10, u, mask=u.with_df(u.df.where("idx % 5 = 0")), accum=al.PLUS, out=u, desc=Descriptor(replace=False)), "select i as idx, case when i % 5 = 0 and v <> 0 then 11 * v else v end as val from ps")
 _on_sizes("apply_index", lambda u: ops.apply_index(lambda x, i, j, t: x + i + t, u, 1), "select i as idx, v + i + 1 as val from ps")
+_on_sizes("apply_index_accum_keep", lambda u: ops.apply_index(lambda x, i, j, t: x + t + i, u, 1, mask=u.with_df(u.df.where("idx % 10 < 3")), accum=al.PLUS, out=u, desc=S.set(replace=False)), "select i as idx, case when i % 10 < 3 then v + v + 1 + i else v end as val from ps")
+_on_sizes("apply_index_complement_replace", lambda u: ops.apply_index(lambda x, i, j, t: x + t + i, u, 1, mask=u.with_df(u.df.where("idx % 10 < 3")), accum=al.PLUS, out=u, desc=SC), "select i as idx, v + v + 1 + i as val from ps where i % 10 >= 3")
 _on_sizes("select_value", lambda u: ops.select(lambda x, i, j, t: x > t, u, 30), "select i as idx, v as val from ps where v > 30")
 _on_sizes("select_index", lambda u: ops.select(lambda x, i, j, t: i % t == 0, u, 7), "select i as idx, v as val from ps where i % 7 = 0")
 
@@ -485,6 +502,13 @@ def _(spark, d):
     return Matrix.from_csr(a.row_pointers(), a.sorted("row").select("pos", "col", "val"), a.nrows, a.ncols).df
 
 
+@_query("adjacency_lists", "cow", 'select r as "row", count(*) as n, sum((c + 1) * v)::bigint as checked from cow group by r')
+def _(spark, d):
+    lists = fx.co_purchase(spark, d, weighted=True).lists()
+    total = F.aggregate("entries", F.lit(0).cast("long"), lambda t, e: t + (e["col"] + 1) * e["val"])
+    return lists.select("row", F.size("entries").cast("long").alias("n"), total.alias("checked"))
+
+
 @_query("non_trivial_vertex", "co", "select min(r) as idx from co where r in (select c from co)")
 def _(spark, d):
     return spark.range(1).select(F.lit(fx.co_purchase(spark, d).non_trivial_vertex()).cast("long").alias("idx"))

@@ -227,3 +227,37 @@ def test_unread_values_are_pruned(spark, sf):
 def test_products_stay_in_generated_code(spark, sf):
     text = ops.mxv(fx.supplier_part(spark, sf), fx.part_size(spark, sf)).df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "ArrowEval" not in text
+
+
+def test_standard_names(spark, small):
+    from gridloom.operators import standard as grb
+
+    u = Vector.ascending(spark, 6)
+    w = grb.GrB_mxv(None, None, None, al.PLUS_TIMES, small, u)
+    assert values(w) == {0: 60, 1: 80, 2: 10, 3: 40, 4: 20, 5: 0}
+    assert values(grb.GrB_vxm(None, None, None, al.PLUS_TIMES, u, small.T)) == values(w)
+    assert values(grb.GrB_eWiseAdd(w, None, al.PLUS, al.MIN, u, u)) == {i: v + i for i, v in values(w).items()}
+    assert values(grb.GrB_assign(u, None, None, 9, [1])) == {0: 0, 1: 9, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert values(grb.GrB_assign(u, None, None, u, [5, 4, 3, 2, 1, 0])) == {i: 5 - i for i in range(6)}
+    assert values(grb.GrB_extract(None, None, None, u, [4, 4])) == {0: 4, 1: 4}
+    assert grb.GrB_reduce(100, al.PLUS, al.PLUS_MONOID, u) == 115
+    assert cells(grb.GrB_select(None, None, None, lambda x, i, j, t: j > i, small, 0)) == {(0, 2): 10, (0, 4): 10, (1, 3): 10, (1, 5): 10, (3, 4): 10}
+    assert grb.GrB_Vector_nvals(grb.GrB_Vector_new(spark, 3)) == 0 and grb.GrB_Matrix_nvals(grb.GrB_Matrix_new(spark, 2, 3)) == 0
+    assert al.TYPED_NAMES["LAGraph_plus_one_int64"] is al.PLUS_PAIR
+
+
+def test_lists_and_random_values(spark):
+    a = Matrix.from_lists(spark, [[(1, 5), (0, 2)], [], [(2, 7)]], "long")
+    assert cells(a) == {(0, 1): 5, (0, 0): 2, (2, 2): 7} and a.nrows == 3
+    assert [tuple(e) for e in a.lists().where("row = 0").head()["entries"]] == [(0, 2), (1, 5)]
+    v = ops.apply(al.set_random(4), Vector.ascending(spark, 50))
+    assert all(0 <= x < 1 for x in values(v).values())
+    assert all(2 <= x < 3 for x in values(Vector.random(spark, 50, 1, 2, 3)).values())
+
+
+def test_timing_units(spark):
+    from gridloom.plans.stats import Timing, timed
+
+    t = Timing("x", 2.0, 4_000_000, 10)
+    assert (t.mteps, t.gflops, t.gbytes) == (20.0, 0.04, 0.48)
+    assert timed("count", spark.range(10), 10).row()["nnz"] == 10
