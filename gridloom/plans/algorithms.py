@@ -13,7 +13,7 @@ from gridloom.operators import ops
 from gridloom.operators.descriptor import DEFAULT
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
-from gridloom.plans.iterate import checksum, fixpoint, near
+from gridloom.plans.iterate import fixpoint, near
 from gridloom.shared import materialize, release
 
 #: Frontiers that are kept apart before they are put together.
@@ -50,8 +50,8 @@ def bfs(a: Matrix, source: int, parents: bool = False, depth: int | None = None)
         level += 1
         step = edges.join(near(frontier.select(F.col("idx").alias("row")), rows), "row").groupBy(F.col("col").alias("idx")).agg(F.min("row").alias("parent"))
         fresh = step.join(_all(visited).select("idx"), "idx", "left_anti").select("idx", F.lit(level).cast("long").alias("level"), "parent")
-        frontier = materialize(fresh, "bfs")
-        rows = frontier.count()
+        frontier = materialize(fresh, "bfs", rows=F.count(F.lit(1)))
+        rows = frontier.metrics["rows"]
         visited.append(frontier)
         if len(visited) >= COMPACT:
             held = materialize(frontier, "bfs")
@@ -79,8 +79,8 @@ def sssp(a: Matrix, source: int, most: int | None = None) -> DataFrame:
         step = edges.join(near(frontier.withColumnRenamed("idx", "row"), rows), "row").groupBy(F.col("col").alias("idx")).agg(F.min(F.col("dist") + F.col("val")).alias("new"))
         known = _all(found).groupBy("idx").agg(F.min("dist").alias("dist"))
         closer = step.join(known, "idx", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("idx", F.col("new").cast(kind).alias("dist"))
-        frontier = materialize(closer, "sssp")
-        rows = frontier.count()
+        frontier = materialize(closer, "sssp", rows=F.count(F.lit(1)))
+        rows = frontier.metrics["rows"]
         found.append(frontier)
         if len(found) >= COMPACT:
             held = materialize(frontier, "sssp")
@@ -108,7 +108,7 @@ def connected_components(a: Matrix, most: int = 100) -> DataFrame:
         # the parent's parent: paths halve
         return ops.extract(lowered, lowered).df.select("idx", "val")
 
-    labels = fixpoint(start, step, lambda old, new: checksum(old) == checksum(new), most, "cc")
+    labels = fixpoint(start, step, None, most, "cc")
     release(sym)
     return labels.select("idx", F.col("val").alias("label"))
 

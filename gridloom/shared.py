@@ -11,7 +11,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, list[str]] = {}
@@ -41,14 +41,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The shuffle files of the write are removed when it ends; the table is
-    removed at exit, or by ``release``.
+    removed at exit, or by ``release``. Aggregates given as ``metrics`` are
+    taken while writing and stand in the result's ``metrics``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    seen = Observation()
+    if metrics:
+        df = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -56,7 +60,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
-    written.shared_path = path
+    written.shared_path, written.metrics = path, seen.get if metrics else {}
     return written
 
 
