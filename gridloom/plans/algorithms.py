@@ -133,7 +133,7 @@ def pagerank(a: Matrix, iterations: int = 10, damping: float = 0.85, direction:
     degree = edges.degrees("col").df.withColumnRenamed("val", "degree")
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        lost = state.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).head()[0]
+        lost = state.metrics["lost"] or 0.0
         passed = state.where("degree > 0").select("idx", (F.col("rank") * damping / F.col("degree")).alias("val"))
         gained = ops.mxv(edges, Vector(passed, n), PLUS_SECOND).df
         teleport = (1 - damping) / n + damping / n * lost
@@ -146,7 +146,7 @@ def pagerank(a: Matrix, iterations: int = 10, damping: float = 0.85, direction:
         return both.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0] <= tolerance
 
     start = degree.select("idx", F.lit(1.0 / n).alias("rank"), "degree")
-    ranks = fixpoint(start, step, done, iterations, "pr")
+    ranks = fixpoint(start, step, done, iterations, "pr", lost=F.sum(F.when(F.col("degree") == 0, F.col("rank"))))
     release(edges.df)
     return ranks.select("idx", "rank")
 
