@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -30,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where they see the driver's folders; elsewhere it is installed."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses; what is there at exit is removed."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -17,6 +17,7 @@ from gridloom.errors import IndexOutOfBounds, InvalidValue
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.scan import ranked
 from gridloom.operators.vector import Vector
+from gridloom.shared import importable
 
 #: Weight of an edge in files that hold none.
 EDGE_WEIGHT = 1
@@ -72,6 +73,7 @@ def read_mtxbin(spark: SparkSession, path: str) -> Matrix:
     Spark hands over a file whole, up to 2 GB; a larger graph comes as a folder
     of such files that repeat the header.
     """
+    importable(spark)
     files = spark.read.format("binaryFile").load(path)
     header = files.select(F.substring("content", 1, 24).alias("head")).head()
     if header is None or len(header["head"]) < 24:
