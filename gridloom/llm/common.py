@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.shared import materialize, new_path, release
+from gridloom.shared import importable, materialize, new_path, release
 
-__all__ = ["SPACES", "materialize", "new_path", "release", "table", "whole_groups"]
+__all__ = ["SPACES", "importable", "materialize", "new_path", "release", "table", "whole_groups"]
 
 #: Bytes that separate words; the class [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
@@ -18,6 +18,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
