@@ -28,10 +28,10 @@ MOST_LANGUAGES = 64
 ORDER = 5
 #: Symbols at which the score of a text stops growing more certain.
 EVIDENCE = 200
-#: Texts are rejected this many deviations above what held-aside training texts of their length have,
-#: if they are also this share of the way towards what texts of other languages have under the same model;
-#: documents that mix languages lie about half way and stay.
-REJECT_SIGMAS, REJECT_SHARE = 8.0, 0.8
+#: A text is rejected if its cross-entropy is this many deviations (for its length) above what held-aside
+#: texts of its language have, and half as many above what texts of other languages have under the same
+#: model; documents that mix languages, or hold keys and numbers, lie between the two and stay.
+REJECT_SIGMAS = 8.0
 #: With fewer held-aside texts nothing is rejected for its cross-entropy.
 LEAST_CALIBRATION = 20
 #: Words remembered by a Python worker.
@@ -114,9 +114,8 @@ class Model:
 
     def limit(self, language: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The highest cross-entropy of texts of n symbols that are not rejected."""
-        mean = self.mean[language]
-        usual = mean + REJECT_SIGMAS * self.spread[language] / np.sqrt(np.clip(n, 1, EVIDENCE))
-        return np.maximum(usual, mean + REJECT_SHARE * (self.foreign[language] - mean))
+        deviation = self.spread[language] / np.sqrt(np.clip(n, 1, EVIDENCE))
+        return np.maximum(self.mean[language] + REJECT_SIGMAS * deviation, self.foreign[language] + REJECT_SIGMAS / 2 * deviation)
 
     def word_scores(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
