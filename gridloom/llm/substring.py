@@ -4,7 +4,8 @@ Each window of words has an anchor, the least hash of the shorter runs in it.
 Anchors that stand in one document alone end the matter for their windows.
 The rest is cut into passages: consecutive windows whose anchors share a home
 (the smallest document with the anchor), so equal windows meet in one shard
-and passages stay long. A shard's distinct passages form an FM-index; streamed
+and passages stay long; what very many documents share is routed by anchor or
+by window, which spreads it. A shard's distinct passages form an FM-index; streamed
 through it, backward search gives every window the smallest document it is in.
 """
 
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialize, release
 from gridloom.llm.fm_index import FmIndex
-from gridloom.llm.words import Words, chunks, mix
+from gridloom.llm.words import Words, chunks, mix, shingles
 
 #: Words in an anchor's run.
 ANCHOR_WORDS = 5
 #: Words of distinct passages that an index shard holds on average.
 SHARD_WORDS = 200_000
-#: A home with more anchor occurrences is split by anchor.
+#: A home with more anchor occurrences is split by anchor, an anchor that recurs more often by window.
 HOT_ANCHORS = 20_000
+#: The route of anchors whose windows each go their own way.
+BY_WINDOW = 0
 #: Windows in a stream through the index.
 STREAM_WINDOWS = 64
 
@@ -93,6 +96,7 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
                 at = np.asarray(hits.offsets)
                 flat = hits.values
                 anchors, routes = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+                own_ways = shingles(words.hashes(), window).view(np.int64) if (routes == BY_WINDOW).any() else None
                 rows = []
                 for i, doc in enumerate(part.column(0).to_pylist()):
                     a, b = words.bounds[i], words.bounds[i + 1]
@@ -102,6 +106,8 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     hit = known[place] == own
                     of = route[place]
+                    if own_ways is not None:
+                        of = np.where(of == BY_WINDOW, own_ways[a : a + len(own)], of)
                     cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1]) | (of[1:] != of[:-1])])) if len(own) else np.zeros(0, np.int64)
                     for s, e in zip(cut, [*cut[1:], len(own)], strict=True):
                         if hit[s]:
@@ -148,8 +154,8 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     recurring = materialize(
         each.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("home < last").select("anchor", "home", "n"), "recurring"
     )
-    hot = recurring.groupBy("home").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ANCHORS).select("home", F.lit(True).alias("hot"))
-    route = F.when(F.col("hot"), F.xxhash64("home", "anchor")).otherwise(F.xxhash64("home"))
+    hot = recurring.groupBy("home").agg(F.sum("n").alias("all")).where(F.col("all") > HOT_ANCHORS).select("home", F.lit(True).alias("hot"))
+    route = F.when(F.col("n") > HOT_ANCHORS, F.lit(BY_WINDOW)).when(F.col("hot"), F.xxhash64("home", "anchor")).otherwise(F.xxhash64("home"))
     routed = recurring.join(hot, "home", "left").select("anchor", route.alias("route"), _again("anchor"))
     # written before the texts join, so their shuffles do not lie on disk together
     hits = materialize(each.select("*", _again("anchor")).join(routed, ["anchor", "again"]).groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "route")).alias("hits")), "hits")

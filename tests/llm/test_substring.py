@@ -20,7 +20,7 @@ def test_documents_equal_the_plain_version(spark, documents):
     assert result(dedup_substrings(df, 13)) == plain.dedup_substrings(documents, 13)
 
 
-@pytest.mark.parametrize("hot", [0, 10**9])
+@pytest.mark.parametrize("hot", [0, 5, 10**9])
 def test_shared_passages(spark, monkeypatch, hot):
     """Passages in many documents, near copies, tiny vocabularies, texts around the window's length; hot homes split or not."""
     monkeypatch.setattr(substring, "HOT_ANCHORS", hot)
