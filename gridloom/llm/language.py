@@ -305,8 +305,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` with held_out, lang_pred, score, entropy and rejected, learned from ``docs`` itself.
+def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns in ``keep``, doc_id among them) with held_out, lang_pred, score, entropy and rejected, learned from ``docs`` itself.
 
     Training reads text and lang of a bounded sample of documents that are not
     held out; predictions read whole texts and nothing else. ``score`` is the
@@ -323,8 +323,8 @@ def identify(docs: DataFrame) -> DataFrame:
     docs = docs.select(*[c for c in docs.columns if c not in new])
     samples = training_sample(docs.where(~held_out(F.col("doc_id"))))
     model = train(samples) if samples else None
-    names = docs.columns
-    at_text = names.index("text")
+    names = docs.columns if keep is None else list(keep)
+    places, at_text = [docs.columns.index(c) for c in names], docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     memories: dict[int, _Memory] = {}
 
@@ -352,7 +352,7 @@ def identify(docs: DataFrame) -> DataFrame:
                     ]
                 kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
                 added = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*names, *new[1:]])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *added], [*names, *new[1:]])
 
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)}).schema
+    schema = docs.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)}).schema
     return docs.mapInArrow(run, schema).withColumn("held_out", held_out(F.col("doc_id")))

@@ -71,7 +71,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
-    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
