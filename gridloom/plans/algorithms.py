@@ -13,7 +13,7 @@ from gridloom.operators import ops
 from gridloom.operators.descriptor import DEFAULT
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
-from gridloom.plans.iterate import fixpoint, near
+from gridloom.plans.iterate import fixpoint, near, settled
 from gridloom.shared import materialize, release
 
 #: Frontiers that are kept apart before they are put together.
@@ -41,7 +41,7 @@ def bfs(a: Matrix, source: int, parents: bool = False, depth: int | None = None)
     visited; frontiers known to be small are broadcast, so the edges stay put.
     The parent is the smallest one of the level before; the source is its own.
     """
-    edges = materialize(a.df.select("row", "col").distinct(), "bfs-edges")
+    edges = settled(a.df.select("row", "col").distinct(), "row", "bfs-edges")
     spark = a.df.sparkSession
     start = spark.range(1).select(F.lit(source).cast("long").alias("idx"), F.lit(1).cast("long").alias("level"), F.lit(source).cast("long").alias("parent"))
     frontier = materialize(start, "bfs")
@@ -56,6 +56,7 @@ def bfs(a: Matrix, source: int, parents: bool = False, depth: int | None = None)
         if len(visited) >= COMPACT:
             held = materialize(frontier, "bfs")
             visited, frontier = _compacted(visited, "bfs"), held
+    release(edges)
     return _all(visited).select("idx", "level", *(["parent"] if parents else []))
 
 
@@ -66,7 +67,7 @@ def sssp(a: Matrix, source: int, most: int | None = None) -> DataFrame:
     weights are allowed, negative cycles are not: after as many rounds as there
     are vertices they raise an error.
     """
-    edges = materialize(a.df.groupBy("row", "col").agg(F.min("val").alias("val")), "sssp-edges")
+    edges = settled(a.df.groupBy("row", "col").agg(F.min("val").alias("val")), "row", "sssp-edges")
     kind = edges.schema["val"].dataType
     kind = kind if kind.typeName() in ("double", "float", "long") else "long"
     spark = a.df.sparkSession
@@ -85,6 +86,7 @@ def sssp(a: Matrix, source: int, most: int | None = None) -> DataFrame:
         if len(found) >= COMPACT:
             held = materialize(frontier, "sssp")
             found, frontier = _compacted(found, "sssp"), held
+    release(edges)
     return _all(found).groupBy("idx").agg(F.min("dist").alias("dist"))
 
 
@@ -96,7 +98,7 @@ def connected_components(a: Matrix, most: int = 100) -> DataFrame:
     """
     n = max(a.nrows, a.ncols)
     spark = a.df.sparkSession
-    sym = materialize(a.df.select("row", "col").union(a.df.select("col", "row")).where("row != col").distinct().withColumn("val", F.lit(1)), "cc-edges")
+    sym = settled(a.df.select("row", "col").union(a.df.select("col", "row")).where("row != col").distinct().withColumn("val", F.lit(1)), "col", "cc-edges")
     graph = Matrix(sym, n, n)
     start = spark.range(n).select(F.col("id").alias("idx"), F.col("id").alias("val"))
 
@@ -128,7 +130,7 @@ def pagerank(a: Matrix, iterations: int = 10, damping: float = 0.85, direction:
     if not n:
         return a.df.select(F.col("row").alias("idx"), F.lit(0.0).alias("rank")).limit(0)
     spark = a.df.sparkSession
-    edges = Matrix(materialize(a.df.select("row", "col").withColumn("val", F.lit(1)), "pr-edges"), n, n)
+    edges = Matrix(settled(a.df.select("row", "col").withColumn("val", F.lit(1)), "col", "pr-edges"), n, n)
     # what a vertex passes to each neighbour is its rank over its degree: the share is worked out once
     degree = edges.degrees("col").df.withColumnRenamed("val", "degree")
 

@@ -73,9 +73,26 @@ def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     return written
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in one bucket of ``key`` for each shuffle partition.
+
+    Joins on ``key`` then exchange the other side alone, however often they
+    are repeated. A key must not outweigh a bucket: buckets are not split.
+    """
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    written = spark.table(table)
+    written.shared_path, written.shared_table = path, table
+    return written
+
+
 def release(df: DataFrame) -> None:
-    """Remove a table that ``materialize`` wrote and nothing will read again."""
+    """Remove a table that ``materialize`` or ``bucketed`` wrote and nothing will read again."""
     spark, path = df.sparkSession, df.shared_path
+    if getattr(df, "shared_table", None):
+        spark.sql(f"drop table if exists {df.shared_table}")
     _written[spark.sparkContext.applicationId].remove(path)
     _delete(spark, path)
 

@@ -261,3 +261,21 @@ def test_timing_units(spark):
     t = Timing("x", 2.0, 4_000_000, 10)
     assert (t.mteps, t.gflops, t.gbytes) == (20.0, 0.04, 0.48)
     assert timed("count", spark.range(10), 10).row()["nnz"] == 10
+
+
+def test_settled_edges_do_not_move(spark, sf):
+    from gridloom.plans.iterate import settled
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = fx.co_purchase(spark, sf)
+        edges = a.with_df(settled(a.df, "col", "settled"))
+        text = ops.mxv(edges, fx.part_size(spark, sf), al.PLUS_SECOND).df._jdf.queryExecution().executedPlan().toString()
+        join = text[text.index("Join") :]
+        assert join.count("Exchange hashpartitioning(col") == 1 and "Bucketed: true" in text
+        # a hub outweighs a bucket: its edges stay a plain table that Spark may split
+        star = matrix(spark, list(range(1, 60)), [0] * 59, 1)
+        assert not hasattr(settled(star.df, "col", "settled"), "shared_table")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
