@@ -46,7 +46,7 @@ _ELEMENTS = 1 << 16
 #: A pair is verified unless its likelihood at the threshold is below the best by more than this (five sigma).
 LIKELIHOOD_SLACK = 12.5
 #: Members and strangers of a component that are compared at once.
-BLOCK = 256
+BLOCK = 128
 #: Shingles whose counts are taken at once.
 SLAB = 8192
 
