@@ -248,8 +248,8 @@ def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int,
                 if not len(at[0]) or not len(at[1]):
                     continue
                 members, strangers = ([sets[i] for i in x] for x in at)
-                both = common_counts(members, strangers)
-                sizes = [np.array([len(s) for s in x], np.float32) for x in (members, strangers)]
+                both = common_counts(members, strangers).astype(np.int64)
+                sizes = [np.array([len(s) for s in x]) for x in (members, strangers)]
                 i, j = np.nonzero((both > 0) & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)))
                 # as many links as join what hangs together here
                 root = local_roots(len(ids), at[0][i], at[1][j])
