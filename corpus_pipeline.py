@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import importable, materialize, release, table
+from gridloom.llm.common import materialize, prepare, release, table
 from gridloom.llm.language import identify
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
@@ -28,7 +28,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that fit no language model go."""
-    importable(spark)
+    prepare(spark)
     return identify(docs.select(*COLUMNS)).where(~F.col("rejected")).select(*COLUMNS)
 
 
@@ -39,20 +39,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    importable(spark)
+    prepare(spark)
     copies = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of thirteen words or more stay in the first document that holds them."""
-    importable(spark)
+    prepare(spark)
     return _documents(dedup_substrings(docs, window=13))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths up to 2048 tokens."""
-    importable(spark)
+    prepare(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, max_tokens=2048)
 
 

@@ -10,15 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.shared import importable, materialize, new_path, release
 
-__all__ = ["SPACES", "importable", "materialize", "new_path", "release", "table", "whole_groups"]
+__all__ = ["SPACES", "materialize", "new_path", "prepare", "release", "table", "whole_groups"]
 
 #: Bytes that separate words; the class [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch; what a task holds off-heap and in Python grows with it.
+ARROW_BYTES = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find the package, and keep Arrow batches small."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder."""
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
