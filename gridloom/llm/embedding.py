@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,15 @@ from gridloom.llm.common import materialize, whole_groups
 from gridloom.llm.components import connected_components, local_roots
 from gridloom.llm.topk import usable
 
-#: Rows that the rotations are learned from; every row is indexed.
+#: Rows that the rotations are learned from, and as many more that their recall is measured on; every row is indexed.
 SAMPLE_ROWS = 8192
 #: Wanted chance that a pair at the threshold shares a bucket.
 RECALL = 0.95
+#: Sample pairs at the threshold on which the recall of the tables is measured.
+PAIRS = 8192
+#: With more tables than this the substrings get shorter, down to LEAST_WIDTH bits; the recall stays.
+MOST_TABLES = 64
+LEAST_WIDTH = 4
 #: Bucket rows compared at once; larger buckets are cut to pairs of blocks.
 BLOCK = 1024
 #: Rows gathered before their groups are compared.
@@ -31,41 +37,98 @@ GATHER = 8192
 SMALL = 32
 
 
-def learn_rotations(sample: np.ndarray, codes: int, iterations: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): one projection of d x (codes * d) whose signs are the bits.
+def _rotations(centred: np.ndarray, iterations: int, seed: int) -> Iterator[np.ndarray]:
+    """Rotations of d x d without end, MOST_TABLES of them learned, then random ones.
 
     Iterative quantisation: from a random rotation of the principal axes,
     alternately take the signs and the rotation that fits them best.
     """
-    d = sample.shape[1]
-    mean = sample.mean(0) if len(sample) else np.zeros(d)
-    centred = sample - mean
-    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1] if len(sample) else np.eye(d)
+    d = centred.shape[1]
+    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1] if len(centred) else np.eye(d)
     v = centred @ axes
     rng = np.random.default_rng(seed)
-    found = []
-    for _ in range(codes):
+    for code in count():
         r = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        for _ in range(iterations if len(sample) else 0):
+        for _ in range(iterations if len(centred) and code < MOST_TABLES else 0):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
-        found.append(axes @ r)
-    return mean, np.concatenate(found, 1)
+        yield axes @ r
+
+
+def learn_rotations(sample: np.ndarray, codes: int, iterations: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection): one projection of d x (codes * d) whose signs are the bits."""
+    mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
+    return mean, np.concatenate(list(islice(_rotations(sample - mean, iterations, seed), codes)), 1)
 
 
-def plan_tables(n: int, dims: int, threshold: float) -> tuple[int, int, int]:
+def plan_tables(n: int, dims: int, threshold: float, width: int | None = None) -> tuple[int, int, int]:
     """(width, tables, codes): bits of a substring, how many substrings, codes they are cut from.
 
     The width follows the logarithm of the rows, so buckets stay small; the
     number of tables follows from the chance that a pair at the threshold
-    agrees in that many bits of a random rotation.
+    agrees in that many bits of a random rotation. These are the fewest tables;
+    fit_tables() adds those that centring costs.
     """
-    width = min(max(4, math.ceil(math.log2(max(n, 2)))), 31, dims)
+    width = width or min(max(LEAST_WIDTH, math.ceil(math.log2(max(n, 2)))), 31, dims)
     agree = (1 - math.acos(threshold) / math.pi) ** width
     tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
     return width, tables, math.ceil(tables / (dims // width))
 
 
+def _pairs_at(sample: np.ndarray, threshold: float, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of the sample, and others at cosine ``threshold`` from them.
+
+    One kind differs in any direction, the other in directions in which vectors
+    of the sample differ. Copies in the sample count once.
+    """
+    rng = np.random.default_rng(seed)
+    sample = np.unique(sample, axis=0)
+    x = sample[rng.permutation(max(len(sample), PAIRS))[:PAIRS] % len(sample)]
+    found = []
+    for step in (rng.standard_normal(x.shape), np.subtract(*sample[rng.integers(0, len(sample), (2, len(x)))])):
+        step -= (step * x).sum(1, keepdims=True) * x
+        norm = np.sqrt((step * step).sum(1))
+        ok = norm > 1e-9
+        if ok.any():
+            found.append((x[ok], threshold * x[ok] + math.sqrt(1 - threshold * threshold) * step[ok] / norm[ok, None]))
+    return found or [(x, x)]
+
+
+def fit_tables(sample: np.ndarray, n: int, threshold: float, iterations: int = 50, seed: int = 5) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(width, tables, mean, projection): bits of a substring, substrings, and what gives their bits side by side.
+
+    plan_tables() knows the angle of the vectors, but bits are those of centred
+    vectors, whose angle is wider where all share a direction. So tables are
+    added until RECALL of sample pairs at the threshold share a bucket. Rotations
+    fit the SAMPLE_ROWS that they are learned from better than others, so where
+    the sample has more rows those must reach it too.
+    """
+    learned, others = sample[:SAMPLE_ROWS], sample[SAMPLE_ROWS:]
+    dims = sample.shape[1]
+    mean = learned.mean(0)
+    pairs = [pair for part in (learned, others) if len(part) for pair in _pairs_at(part, threshold)]
+    more = _rotations(learned - mean, iterations, seed)
+    rotations: list[np.ndarray] = []
+    agree: list[list[np.ndarray]] = []  # by code and kind of pairs: bits that agree
+    widest = plan_tables(n, dims, threshold)[0]
+    for width in range(widest, 0, -1):
+        per_code, least = dims // width, plan_tables(n, dims, threshold, width)[1]
+        met = [np.zeros(len(x), bool) for x, _ in pairs]
+        for tables in count(1):
+            if tables > max(least, MOST_TABLES) and width > min(LEAST_WIDTH, widest):
+                break
+            code, place = divmod(tables - 1, per_code)
+            if code == len(rotations):
+                rotations.append(next(more))
+                agree.append([((x - mean) @ rotations[-1] >= 0) == ((y - mean) @ rotations[-1] >= 0) for x, y in pairs])
+            for kind, bits in zip(met, agree[code], strict=True):
+                kind |= bits[:, place * width : (place + 1) * width].all(1)
+            if tables >= least and min(kind.mean() for kind in met) >= RECALL:
+                columns = [r[:, : per_code * width] for r in rotations[: code + 1]]
+                return width, tables, mean, np.concatenate(columns, 1)[:, : tables * width]
+    raise AssertionError("unreachable: the least width takes as many tables as it needs")
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     """Unit rows in double precision."""
     x = np.asarray(col.flatten()).astype(np.float64).reshape(len(col), -1)
@@ -153,12 +216,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def _search(rows: DataFrame, classes: DataFrame, n: int, dims: int, threshold: float) -> DataFrame:
     """(id, n, root) of class representatives, written to the shared folder."""
-    width, tables, codes = plan_tables(n, dims, threshold)
-    sample = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()["embedding"]
-    mean, projection = learn_rotations(_matrix(sample.combine_chunks()), codes)
-    per_code = dims // width
-    columns = np.concatenate([c * dims + np.arange(per_code * width) for c in range(codes)])[: tables * width]
-    projection = projection[:, columns]
+    sample = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE_ROWS).toArrow()["embedding"]
+    width, tables, mean, projection = fit_tables(_matrix(sample.combine_chunks()), n, threshold)
     places = 1 << np.arange(width, dtype=np.int64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import pytest
 from plain import components
 
 from gridloom.llm import embedding, topk
-from gridloom.llm.embedding import learn_rotations, near_vectors, plan_tables
+from gridloom.llm.embedding import _pairs_at, fit_tables, learn_rotations, near_vectors, plan_tables
 from gridloom.llm.topk import exact_top_k
 
 
@@ -54,6 +54,40 @@ def test_query_recall(spark, sf):
     assert len(got) == len(x) and (got.n_links.sum() >= 0.9 * degree.sum()) and (got.n_links.sum() <= degree.sum())
 
 
+@pytest.mark.parametrize("share", [0.0, 0.7])
+def test_recall_at_the_threshold_with_a_shared_mean(spark, share):
+    """Pairs of cosine 0.95 to 0.97 whose vectors all share a direction are found as planned."""
+    x, y = pairs(3000, 64, share)
+    got = near_vectors(frame(spark, np.concatenate([x, y]))).toPandas().set_index("vec_id")
+    degree, _ = brute(np.concatenate([x, y]))
+    assert (got.n_links.sort_index().to_numpy() <= degree).all()
+    assert got.n_links.sum() >= 0.94 * degree.sum()
+
+
+def pairs(n, d, share, seed=3):
+    """Two rows of n unit vectors around a mean of norm ``share``, at cosine 0.951 to 0.97 from each other."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d)) * np.sqrt((1 - share**2) / d)
+    x[:, 0] += share
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    step = rng.standard_normal((n, d))
+    step -= (step * x).sum(1)[:, None] * x
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    cosine = rng.uniform(0.951, 0.97, n)[:, None]
+    return x, cosine * x + np.sqrt(1 - cosine**2) * step
+
+
+@pytest.mark.parametrize("share", [0.0, 0.7, 0.95])
+def test_tables_reach_the_recall_measured(monkeypatch, share):
+    """Pairs at the threshold that the plan has not seen share a bucket as often as wanted."""
+    monkeypatch.setattr(embedding, "SAMPLE_ROWS", 2000)
+    x, _ = pairs(8000, 64, share)
+    width, tables, mean, projection = fit_tables(x[:4000], 100_000, 0.95, iterations=5)
+    (a, b), *_ = _pairs_at(x[4000:], 0.95, seed=11)
+    same = (((a - mean) @ projection >= 0) == ((b - mean) @ projection >= 0)).reshape(len(a), tables, width)
+    assert same.all(2).any(1).mean() >= embedding.RECALL - 0.015 and width >= 4
+
+
 def test_odd_vectors(spark):
     one = np.eye(8)[0]
     vectors = [one, one, None, [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [], one * 3e38, one * 1e-40, [1.0, 0.0]]
