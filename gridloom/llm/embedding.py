@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count, islice
 
 import numpy as np
@@ -184,8 +185,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and rows of null vec_id, link with nothing (n_links 0, component_id their
-    own). Vectors of another length than the most common one link only with
-    equal ones. Equal vectors form one class before anything is compared, so
+    own). Vectors of different lengths have no cosine and do not link; each
+    length is searched on its own. Equal vectors form one class before anything is compared, so
     copies are never expanded into pairs; rows that repeat a vec_id count as
     rows. Empty table: empty result; other columns are not read.
     """
@@ -195,12 +196,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("good", good)
     rows = rows.withColumns({"e1": F.when(F.col("good"), F.xxhash64("embedding")), "e2": F.when(F.col("good"), F.xxhash64(F.lit(7), "embedding"))})
     classes = rows.where("good").groupBy("e1", "e2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    sizes = rows.where("good").groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").head()
+    # lengths that only copies of one vector have hold nothing to search
+    differ = (F.min("e1") != F.max("e1")) | (F.min("e2") != F.max("e2"))
+    sizes = rows.where("good").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), differ.alias("differ")).where("differ").orderBy("dims").collect()
     named = classes.select("e1", "e2", "id", "weight", again)
-    if sizes is None or sizes["dims"] < 2:
-        linked = None
-    else:
-        linked = _search(rows.where(F.col("good") & (F.size("embedding") == sizes["dims"])), classes, sizes["count"], sizes["dims"], threshold)
+    found = [_search(rows.where(F.col("good") & (F.size("embedding") == s["dims"])), classes, s["n"], threshold) for s in sizes]
+    linked = reduce(DataFrame.unionAll, found) if found else None
     out = rows.select("vec_id", "e1", "e2", again).join(named, ["e1", "e2", "again"], "left")
     if linked is None:
         out = out.withColumns({"n": F.lit(0).cast("long"), "component": F.col("id")})
@@ -214,7 +215,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     )
 
 
-def _search(rows: DataFrame, classes: DataFrame, n: int, dims: int, threshold: float) -> DataFrame:
+def _search(rows: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, n, root) of class representatives, written to the shared folder."""
     sample = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE_ROWS).toArrow()["embedding"]
     width, tables, mean, projection = fit_tables(_matrix(sample.combine_chunks()), n, threshold)

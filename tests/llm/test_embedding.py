@@ -88,6 +88,16 @@ def test_tables_reach_the_recall_measured(monkeypatch, share):
     assert same.all(2).any(1).mean() >= embedding.RECALL - 0.015 and width >= 4
 
 
+def test_every_length_is_searched(spark):
+    """A third of the rows with another length, and rows of one component, link as the rest do."""
+    rng = np.random.default_rng(4)
+    groups = [[x + rng.standard_normal(d) * 0.01 for x in rng.standard_normal((n, d)) for _ in (0, 1)] for d, n in ((16, 20), (12, 10))]
+    vectors = [v for g in groups for v in g] + [[1.0], [2.0], [-1.0], [-3.0], [5.0], [1.0, 0.0, 0.0]]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(frame(spark, vectors)).collect()}
+    assert [got[i] for i in range(60)] == [(1, i - i % 2) for i in range(60)]
+    assert [got[i] for i in range(60, 66)] == [(2, 60), (2, 60), (1, 62), (1, 62), (2, 60), (0, 65)]
+
+
 def test_odd_vectors(spark):
     one = np.eye(8)[0]
     vectors = [one, one, None, [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [], one * 3e38, one * 1e-40, [1.0, 0.0]]
