@@ -28,10 +28,12 @@ MOST_LANGUAGES = 64
 ORDER = 5
 #: Symbols at which the score of a text stops growing more certain.
 EVIDENCE = 200
-#: A text is rejected if its cross-entropy is this many deviations (for its length) above what held-aside
-#: texts of its language have, and half as many above what texts of other languages have under the same
-#: model; documents that mix languages, or hold keys and numbers, lie between the two and stay.
+#: A text is rejected if its cross-entropy, each word under the model that fits it best, is this many deviations
+#: (for its length) above what held-aside texts of its language have, and has gone this share of the way from
+#: there to what texts of a language that no model knows have; words of documents that mix languages fit one model
+#: each, so these documents, and such as hold keys and numbers, lie below and stay.
 REJECT_SIGMAS = 8.0
+REJECT_SHARE = 0.7
 #: With fewer held-aside texts nothing is rejected for its cross-entropy.
 LEAST_CALIBRATION = 20
 #: Words remembered by a Python worker.
@@ -108,14 +110,15 @@ class Model:
     contexts: list[np.ndarray]  # by order: keys of what precedes
     back: list[np.ndarray]  # log weight of the next shorter order, 0 where unseen
     floor: float  # log probability of a symbol that no order knows
-    mean: np.ndarray  # of the cross-entropy of held-aside texts
+    mean: np.ndarray  # of the cross-entropy of held-aside texts, each word under its best model
     spread: np.ndarray  # of the same, times the root of the symbols
-    foreign: np.ndarray  # cross-entropy of other languages' held-aside texts
+    foreign: np.ndarray  # the same under the other models only, of the nearest language left out
 
     def limit(self, language: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The highest cross-entropy of texts of n symbols that are not rejected."""
+        mean = self.mean[language]
         deviation = self.spread[language] / np.sqrt(np.clip(n, 1, EVIDENCE))
-        return np.maximum(self.mean[language] + REJECT_SIGMAS * deviation, self.foreign[language] + REJECT_SIGMAS / 2 * deviation)
+        return mean + np.maximum(REJECT_SIGMAS * deviation, REJECT_SHARE * (self.foreign[language] - mean))
 
     def word_scores(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
@@ -219,22 +222,23 @@ def train(samples: dict[str, list[str]]) -> Model:
             names.append(every)
             values.append(matrix)
     model = Model(languages, keys, logs, contexts, back, -math.log(max(2, alphabet)), np.zeros(len(languages)), np.ones(len(languages)), np.zeros(len(languages)))
-    aside_scores = []
+    aside_count, left_out = 0, []
     for c, l in enumerate(languages):
         aside = [t for i, t in enumerate(samples[l]) if not i % 4] or samples[l]
-        scores, n = score_texts(model, aside)
-        aside_scores.append((scores, n))
+        _, n, loose = score_texts(model, aside)
         ok = n > 0
-        entropy = -scores[ok, c] / n[ok]
+        aside_count += int(ok.sum())
+        entropy = -loose[ok] / n[ok]
         model.mean[c] = entropy.mean() if len(entropy) else math.log(max(2, alphabet))
         wide = np.sqrt(np.mean((entropy - model.mean[c]) ** 2 * np.minimum(n[ok], EVIDENCE))) if len(entropy) > 1 else 1.0
         model.spread[c] = max(wide, 0.5)
-    calibrated = sum(int((n > 0).sum()) for _, n in aside_scores) >= LEAST_CALIBRATION
+        if len(languages) > 1 and ok.any():  # as if the language were not learned
+            left_out.append(np.mean(-score_texts(model, aside, without=c)[2][ok] / n[ok]))
+    calibrated = aside_count >= LEAST_CALIBRATION
     for c in range(len(languages)):
-        # an alphabet of evenly likely symbols stands in where there is one language alone
-        others = [-scores[n > 0, c] / n[n > 0] for o, (scores, n) in enumerate(aside_scores) if o != c]
-        model.foreign[c] = np.mean(np.concatenate(others)) if others and sum(map(len, others)) else math.log(max(2, alphabet))
-        model.foreign[c] = model.foreign[c] if calibrated else np.inf
+        # languages that the models do not tell apart say nothing of unknown ones; an alphabet of evenly likely symbols stands in where none is left
+        apart = [e for e in left_out if e > model.mean[c] + REJECT_SIGMAS * model.spread[c] / math.sqrt(EVIDENCE)]
+        model.foreign[c] = min(apart, default=math.log(max(2, alphabet))) if calibrated else np.inf
     return model
 
 
@@ -245,13 +249,13 @@ class _Memory:
         self.keys, self.scores = np.zeros(0, np.uint64), None
 
 
-def score_texts(model: Model, texts: list[str], memory: _Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of each text by language, its predicted symbols)."""
+def score_texts(model: Model, texts: list[str], memory: _Memory | None = None, without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probability of each text by language, its predicted symbols, log probability with each word under its best model but ``without``)."""
     memory = memory or _Memory()
     symbols, starts, ends, row = letter_words(texts)
-    total, n = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    total, n, loose = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts)), np.zeros(len(texts))
     if not len(starts):
-        return total, n
+        return total, n, loose
     h = _word_hashes(symbols, starts, ends)
     keys, first, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     if memory.scores is None:
@@ -274,7 +278,9 @@ def score_texts(model: Model, texts: list[str], memory: _Memory | None = None) -
     full = np.flatnonzero(np.diff(bounds))
     total[full] = np.add.reduceat(scores[of], bounds[:-1][full], 0)
     n[full] = np.add.reduceat(ends - starts + 1, bounds[:-1][full])
-    return total, n
+    best = (scores if without is None else np.delete(scores, without, 1)).max(1)
+    loose[full] = np.add.reduceat(best[of], bounds[:-1][full])
+    return total, n, loose
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
@@ -311,8 +317,9 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Training reads text and lang of a bounded sample of documents that are not
     held out; predictions read whole texts and nothing else. ``score`` is the
     winner's share of the likelihoods, for at most EVIDENCE symbols.
-    ``rejected``: no letters, or a cross-entropy above the limit that texts
-    held aside in training calibrate.
+    ``rejected``: no letters, or a cross-entropy (each word under the model
+    that fits it best) above the limit that texts held aside in training
+    calibrate, those of each language also as if it were not learned.
 
     Null text, no letters, or nothing to learn from: ``und`` with score 0,
     rejected. Null doc_id: not held out. Repeated rows count as rows; ties go
@@ -336,14 +343,14 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 if model is None:
                     columns = [[UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)]
                 else:
-                    scores, n = score_texts(model, texts, memory)
+                    scores, n, loose = score_texts(model, texts, memory)
                     best = scores.argmax(1)
                     some = n > 0
                     top = scores[np.arange(len(texts)), best]
                     entropy = -top / np.maximum(n, 1)
                     trust = np.minimum(n, EVIDENCE) / np.maximum(n, 1)
                     share = 1 / np.exp((scores - top[:, None]) * trust[:, None]).sum(1)
-                    odd = entropy > model.limit(best, n)
+                    odd = -loose / np.maximum(n, 1) > model.limit(best, n)
                     columns = [
                         [model.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)],
                         np.where(some, share, 0.0),

@@ -6,7 +6,7 @@ import pytest
 from plain import words
 from pyspark.sql import functions as F
 
-from gridloom.llm.language import ORDER, _contexts, _find, _grams, identify, letter_words, train
+from gridloom.llm.language import ORDER, _contexts, _find, _grams, identify, letter_words, score_texts, train
 from gridloom.llm.registry import queries
 from gridloom.llm.token_counts import MARK, Vocabulary, count_tokens, load_vocabulary
 
@@ -57,6 +57,25 @@ def test_other_scripts_are_rejected_and_mixtures_stay(spark, sf):
     assert sum(got[r["doc_id"]]["rejected"] for r in rows) == 0
 
 
+def test_unlearned_languages_are_rejected_and_mixtures_stay(spark):
+    """Each language of the same script in turn has no label; its texts go, clean and mixed texts of the others stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 600 and 8000").select("doc_id", "text", "lang")
+    rows = [r for r in table.orderBy("doc_id").collect() if r["lang"]]
+    by = {l: [r["text"] for r in rows if r["lang"] == l] for l in sorted({r["lang"] for r in rows})}
+    for unlearned in by:
+        known = [l for l in by if l != unlearned]
+        model = train({l: by[l][30:] for l in known})
+        rejected = lambda texts: _rejected(model, texts).mean()
+        assert rejected(by[unlearned][:30]) >= 0.9
+        assert rejected([t for l in known for t in by[l][:30]]) <= 0.04
+        assert rejected([f"{a[:400]} {b[:400]}" for l, m in zip(known, known[1:], strict=False) for a, b in zip(by[l][:30], by[m][:30], strict=False)]) <= 0.04
+
+
+def _rejected(model, texts):
+    scores, n, loose = score_texts(model, texts)
+    return -loose / n > model.limit(scores.argmax(1), n)
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = identify(odd_docs)
     assert set(odd_docs.columns) | {"held_out", "lang_pred", "entropy", "rejected"} == set(got.columns)
