@@ -319,7 +319,9 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     winner's share of the likelihoods, for at most EVIDENCE symbols.
     ``rejected``: no letters, or a cross-entropy (each word under the model
     that fits it best) above the limit that texts held aside in training
-    calibrate, those of each language also as if it were not learned.
+    calibrate, those of each language also as if it were not learned. With
+    fewer than LEAST_CALIBRATION such texts only texts without letters are
+    rejected, so a few more labelled rows can change that of other rows.
 
     Null text, no letters, or nothing to learn from: ``und`` with score 0,
     rejected. Null doc_id: not held out. Repeated rows count as rows; ties go
