@@ -25,6 +25,33 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents
+), sets as (
+  select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) end) as shingle
+  from words where len(w) > 0
+), sizes as (
+  select doc_id, count(*) as n from sets group by doc_id
+), links as (
+  select a.doc_id as a, b.doc_id as b from sets a join sets b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  join sizes s on s.doc_id = a.doc_id join sizes t on t.doc_id = b.doc_id
+  where 10 * s.n >= 8 * t.n and 10 * t.n >= 8 * s.n
+  group by a.doc_id, b.doc_id, s.n, t.n having 100 * count(*) >= 80 * (s.n + t.n - count(*))
+), both_ways as (
+  select a, b from links union select b, a from links
+), reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, l.b from reach r join both_ways l on r.other = l.a
+)
+select d.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(r.other) as component_id, d.doc_id = min(r.other) as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join reach r on r.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed WARC archive and read back."""
     path = new_path(spark, "warc")
@@ -80,6 +107,28 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+with words as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), placed as (
+  select doc_id, unnest(generate_series(1, len(w))) as pos, unnest(w) as word from words
+), windows as (
+  select doc_id, unnest(generate_series(1, len(w) - 12)) as pos,
+         unnest(list_transform(generate_series(1, len(w) - 12), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) as gram
+  from words where len(w) > 12
+), repeated as (
+  select doc_id, pos, min(doc_id) over (partition by gram) < doc_id as gone from windows
+), judged as (
+  select p.doc_id, p.pos, p.word,
+         coalesce(max(r.gone::integer) over (partition by p.doc_id order by p.pos rows between 12 preceding and current row), 0) = 1 as gone
+  from placed p left join repeated r on p.doc_id = r.doc_id and p.pos = r.pos
+)
+select d.doc_id, count(pos)::bigint as n_words, (count(*) filter (where gone))::bigint as n_removed,
+       sha256(coalesce(string_agg(word, ' ' order by pos) filter (where not gone), '')) as kept_sha256
+from documents d left join judged j on d.doc_id = j.doc_id group by d.doc_id
+"""
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every twentieth vector the 20 others with the highest integer inner product."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -153,4 +202,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op8_top_k": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_warc": OP2_SQL, "op7_substring_dedup": OP7_SQL, "op8_top_k": OP8_SQL, "op10_line_dedup": OP10_SQL}

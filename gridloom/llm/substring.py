@@ -5,8 +5,9 @@ Anchors that stand in one document alone end the matter for their windows.
 The rest is cut into passages: consecutive windows whose anchors share a home
 (the smallest document with the anchor), so equal windows meet in one shard
 and passages stay long; what very many documents share is routed by anchor or
-by window, which spreads it. A shard's distinct passages form an FM-index; streamed
-through it, backward search gives every window the smallest document it is in.
+by window, which spreads it. A shard's distinct passages form a compressed
+FM-index. Streamed through it, backward search gives their matching statistics;
+the interval of every match as long as a window holds the smallest document.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ANCHOR_WORDS = 5
 SHARD_WORDS = 200_000
 #: A home with more anchor occurrences is split by anchor, an anchor that recurs more often by window.
 HOT_ANCHORS = 20_000
+#: Windows of a passage; longer ones are cut, each part with the words that its last window needs.
+PASSAGE_WINDOWS = 4096
 #: The route of anchors whose windows each go their own way.
 BY_WINDOW = 0
 #: Windows in a stream through the index.
@@ -109,12 +112,12 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
                     if own_ways is not None:
                         of = np.where(of == BY_WINDOW, own_ways[a : a + len(own)], of)
                     cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1]) | (of[1:] != of[:-1])])) if len(own) else np.zeros(0, np.int64)
-                    for s, e in zip(cut, [*cut[1:], len(own)], strict=True):
-                        if hit[s]:
-                            first, last = a + s, a + e + window - 2
-                            text = b" ".join(words.data[words.starts[first] : words.ends[last]].tobytes().split())
-                            d = np.frombuffer(xxhash.xxh3_128_digest(text), "<i8")
-                            rows.append((of[s], d[0], d[1], text.decode(), e - s + window - 1, doc, s))
+                    runs = zip(cut, [*cut[1:], len(own)], strict=True)
+                    for s, e in ((s, min(s + PASSAGE_WINDOWS, e)) for s0, e in runs if hit[s0] for s in range(s0, e, PASSAGE_WINDOWS)):
+                        first, last = a + s, a + e + window - 2
+                        text = b" ".join(words.data[words.starts[first] : words.ends[last]].tobytes().split())
+                        d = np.frombuffer(xxhash.xxh3_128_digest(text), "<i8")
+                        rows.append((of[s], d[0], d[1], text.decode(), e - s + window - 1, doc, s))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
 
@@ -122,7 +125,11 @@ def _passages(docs: DataFrame, window: int) -> DataFrame:
 
 
 def first_documents(passages: list[np.ndarray], owners: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """For each passage (word hashes) the runs (first window, last window, smallest owner of a passage that holds it)."""
+    """For each passage (word hashes) the runs (first window, last window, smallest owner of a passage that holds it).
+
+    The passages are streamed through their index: the matching statistics
+    tell which windows it holds, and the interval of such a window its owner.
+    """
     lengths = np.array([len(p) for p in passages])
     ids = np.unique(np.concatenate(passages), return_inverse=True)[1] + 1
     text = np.zeros(len(ids) + len(passages), np.int64)
@@ -130,19 +137,21 @@ def first_documents(passages: list[np.ndarray], owners: np.ndarray, window: int)
     inside = np.ones(len(text), bool)
     inside[start + lengths] = False
     text[inside] = ids
-    index = FmIndex(text, window)
-    owner = np.repeat(owners, lengths + 1)[index.suffixes]
-    least = np.minimum.reduceat(owner, index.full[1][:-1])
-    windows = lengths - window + 1
+    known, rank = np.unique(owners, return_inverse=True)
+    index = FmIndex(text, np.repeat(rank, lengths + 1), window)
+    windows = np.maximum(lengths - window + 1, 0)
     pieces = -(-windows // STREAM_WINDOWS)
     offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STREAM_WINDOWS
     begin, count = np.repeat(start, pieces) + offset, np.minimum(STREAM_WINDOWS, np.repeat(windows, pieces) - offset)
-    group = index.window_groups(text, begin, count)
+    length, lo, hi = index.matching_statistics(text, begin, count)
+    held = np.flatnonzero(length == window)
+    first = np.full(len(text), -1, np.int64)
+    first[held] = index.least_owner(lo[held], hi[held])
     out = []
     for s, n in zip(start, windows, strict=True):
-        of = least[group[s : s + n]]
-        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out.append([(int(a), int(b) - 1, int(of[a])) for a, b in zip(cut, [*cut[1:], n], strict=True)])
+        of = first[s : s + n]
+        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if n else []
+        out.append([(int(a), int(b) - 1, int(known[of[a]])) for a, b in zip(cut, [*cut[1:], n], strict=True) if of[a] >= 0])
     return out
 
 
