@@ -1,23 +1,26 @@
 """Near-duplicate vectors by iterative quantisation.
 
 A rotation learned for balanced binary codes (several, from different starts)
-turns each vector into bits; substrings of the codes index Hamming tables; all
-who share a bucket are compared by cosine on the original vectors.
+turns each vector into bits. Substrings of the codes index Hamming tables, which
+are searched within a radius of differing bits; who meets there and is near by
+the whole code is reranked by the cosine of the original vectors. Radius, width,
+number of tables and the code's limit follow from pairs at the threshold.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from itertools import count, islice
+from itertools import combinations, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, whole_groups
+from gridloom.llm.common import materialize, release, whole_groups
 from gridloom.llm.components import connected_components, local_roots
 from gridloom.llm.topk import usable
 
@@ -30,6 +33,12 @@ PAIRS = 8192
 #: With more tables than this the substrings get shorter, down to LEAST_WIDTH bits; the recall stays.
 MOST_TABLES = 64
 LEAST_WIDTH = 4
+#: Differing bits within which a substring is searched, at most.
+MOST_RADIUS = 2
+#: Bits of the code by which candidates are judged before their vectors are read.
+CODE_BITS = 256
+#: Share of pairs at the threshold that the code's limit lets through; the tables make up for the rest.
+CODE_PASS = 0.998
 #: Bucket rows compared at once; larger buckets are cut to pairs of blocks.
 BLOCK = 1024
 #: Rows gathered before their groups are compared.
@@ -62,20 +71,54 @@ def learn_rotations(sample: np.ndarray, codes: int, iterations: int = 50, seed:
     return mean, np.concatenate(list(islice(_rotations(sample - mean, iterations, seed), codes)), 1)
 
 
-def plan_tables(n: int, dims: int, threshold: float, width: int | None = None) -> tuple[int, int, int]:
+def plan_tables(n: int, dims: int, threshold: float, width: int | None = None, radius: int = 0) -> tuple[int, int, int]:
     """(width, tables, codes): bits of a substring, how many substrings, codes they are cut from.
 
     The width follows the logarithm of the rows, so buckets stay small; the
     number of tables follows from the chance that a pair at the threshold
-    agrees in that many bits of a random rotation. These are the fewest tables;
-    fit_tables() adds those that centring costs.
+    differs in at most ``radius`` of that many bits of a random rotation. These
+    are the fewest tables; fit_tables() adds those that centring costs.
     """
     width = width or min(max(LEAST_WIDTH, math.ceil(math.log2(max(n, 2)))), 31, dims)
-    agree = (1 - math.acos(threshold) / math.pi) ** width
-    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
+    differ = math.acos(threshold) / math.pi
+    meet = sum(math.comb(width, k) * differ**k * (1 - differ) ** (width - k) for k in range(min(radius, width) + 1))
+    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1 - meet, 1e-9))))
     return width, tables, math.ceil(tables / (dims // width))
 
 
+def flips(width: int, radius: int) -> list[int]:
+    """Every pattern of at most ``radius`` of ``width`` bits, none first."""
+    return [sum(1 << b for b in bits) for k in range(min(radius, width) + 1) for bits in combinations(range(width), k)]
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Hamming tables: ``tables`` substrings of ``width`` bits, searched within ``radius`` bits, of codes whose limit is ``most`` bits."""
+
+    width: int
+    tables: int
+    radius: int
+    mean: np.ndarray
+    projection: np.ndarray  # its signs are the substrings' bits, side by side
+    code: np.ndarray  # its signs are the bits of the code
+    most: int
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """Substrings of unit rows, one column for each table."""
+        places = 1 << np.arange(self.width, dtype=np.int64)
+        return ((((x - self.mean) @ self.projection) >= 0).reshape(len(x), self.tables, self.width) @ places).astype(np.int32)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """Packed codes of unit rows."""
+        bits = np.packbits((x - self.mean) @ self.code >= 0, axis=1, bitorder="little")
+        return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view("<i8")
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of packed codes."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(-1, dtype=np.int64)
+
+
 def _pairs_at(sample: np.ndarray, threshold: float, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     """Unit vectors of the sample, and others at cosine ``threshold`` from them.
 
@@ -95,14 +138,17 @@ def _pairs_at(sample: np.ndarray, threshold: float, seed: int = 7) -> list[tuple
     return found or [(x, x)]
 
 
-def fit_tables(sample: np.ndarray, n: int, threshold: float, iterations: int = 50, seed: int = 5) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(width, tables, mean, projection): bits of a substring, substrings, and what gives their bits side by side.
+def fit_tables(sample: np.ndarray, n: int, threshold: float, iterations: int = 50, seed: int = 5) -> Tables:
+    """The Hamming tables of least work that find RECALL of sample pairs at the threshold.
 
     plan_tables() knows the angle of the vectors, but bits are those of centred
     vectors, whose angle is wider where all share a direction. So tables are
-    added until RECALL of sample pairs at the threshold share a bucket. Rotations
+    added until enough pairs meet in one and are near by the code; rotations
     fit the SAMPLE_ROWS that they are learned from better than others, so where
-    the sample has more rows those must reach it too.
+    the sample has more rows those must reach it too. A wider radius needs
+    fewer tables but more entries and candidates in each; of the radii for which
+    MOST_TABLES suffice that with the fewest entries and candidates is taken,
+    and only where there is none the substrings get shorter.
     """
     learned, others = sample[:SAMPLE_ROWS], sample[SAMPLE_ROWS:]
     dims = sample.shape[1]
@@ -110,23 +156,37 @@ def fit_tables(sample: np.ndarray, n: int, threshold: float, iterations: int = 5
     pairs = [pair for part in (learned, others) if len(part) for pair in _pairs_at(part, threshold)]
     more = _rotations(learned - mean, iterations, seed)
     rotations: list[np.ndarray] = []
-    agree: list[list[np.ndarray]] = []  # by code and kind of pairs: bits that agree
+    differ: list[list[np.ndarray]] = []  # by code and kind of pairs: bits that differ
+
+    def bits(code: int) -> list[np.ndarray]:
+        while code >= len(rotations):
+            r = next(more)
+            rotations.append(r)
+            differ.append([((x - mean) @ r >= 0) != ((y - mean) @ r >= 0) for x, y in pairs])
+        return differ[code]
+
+    apart = [d[:, :CODE_BITS].sum(1) for d in bits(0)]
+    most = int(max(np.quantile(d, CODE_PASS, method="higher") for d in apart))
     widest = plan_tables(n, dims, threshold)[0]
     for width in range(widest, 0, -1):
-        per_code, least = dims // width, plan_tables(n, dims, threshold, width)[1]
-        met = [np.zeros(len(x), bool) for x, _ in pairs]
-        for tables in count(1):
-            if tables > max(least, MOST_TABLES) and width > min(LEAST_WIDTH, widest):
-                break
-            code, place = divmod(tables - 1, per_code)
-            if code == len(rotations):
-                rotations.append(next(more))
-                agree.append([((x - mean) @ rotations[-1] >= 0) == ((y - mean) @ rotations[-1] >= 0) for x, y in pairs])
-            for kind, bits in zip(met, agree[code], strict=True):
-                kind |= bits[:, place * width : (place + 1) * width].all(1)
-            if tables >= least and min(kind.mean() for kind in met) >= RECALL:
-                columns = [r[:, : per_code * width] for r in rotations[: code + 1]]
-                return width, tables, mean, np.concatenate(columns, 1)[:, : tables * width]
+        per_code, least_wide = dims // width, width <= min(LEAST_WIDTH, widest)
+        plans = []
+        for radius in range(MOST_RADIUS + 1):
+            least, volume = plan_tables(n, dims, threshold, width, radius)[1], len(flips(width, radius))
+            met = [np.zeros(len(x), bool) for x, _ in pairs]
+            for tables in count(1):
+                if tables > max(least, MOST_TABLES) and not (least_wide and not radius):
+                    break
+                code, place = divmod(tables - 1, per_code)
+                for kind, d in zip(met, bits(code), strict=True):
+                    kind |= d[:, place * width : (place + 1) * width].sum(1) <= radius
+                if tables >= least and min((kind & (d <= most)).mean() for kind, d in zip(met, apart, strict=True)) >= min(RECALL, CODE_PASS):
+                    plans.append((tables * volume * (1 + n / 2**width), tables, radius))
+                    break
+        if plans:
+            _, tables, radius = min(plans)
+            columns = [r[:, : per_code * width] for r in rotations[: math.ceil(tables / per_code)]]
+            return Tables(width, tables, radius, mean, np.concatenate(columns, 1)[:, : tables * width], rotations[0][:, :CODE_BITS], most)
     raise AssertionError("unreachable: the least width takes as many tables as it needs")
 
 
@@ -137,48 +197,85 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _linked(x: np.ndarray, bounds: np.ndarray, cross: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of cosine at least the threshold within each group; in ``cross`` groups between its two sides only."""
+def _near_codes(codes: np.ndarray, bounds: np.ndarray, cross: np.ndarray, side: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs whose codes differ in at most ``most`` bits within each group; in ``cross`` groups between its two sides only."""
     size, pairs = np.diff(bounds), []
     for k in np.unique(size[(size > 1) & (size <= SMALL)]):
-        for firsts in np.array_split(bounds[:-1][size == k], max(1, int((size == k).sum() * k * k // 500_000))):
-            at = firsts[:, None] + np.arange(k)
-            g, i, j = np.nonzero(np.triu(np.matmul(x[at], x[at].transpose(0, 2, 1)) >= threshold, 1))
+        firsts = bounds[:-1][size == k]
+        for some in np.array_split(firsts, max(1, len(firsts) * k * k * codes.shape[1] // 500_000)):
+            at = some[:, None] + np.arange(k)
+            c = codes[at]
+            g, i, j = np.nonzero(np.triu(distance(c[:, :, None], c[:, None]) <= most, 1))
             pairs.append((at[g, i], at[g, j]))
     for a, b in zip(bounds[:-1][size > SMALL], bounds[1:][size > SMALL], strict=True):
-        if cross[a]:
-            left, right = (a + np.flatnonzero(side[a:b] == s) for s in (0, 1))
-            i, j = np.nonzero(x[left] @ x[right].T >= threshold)
-            pairs.append((left[i], right[j]))
-        else:
-            i, j = np.nonzero(np.triu(x[a:b] @ x[a:b].T >= threshold, 1))
-            pairs.append((a + i, a + j))
+        left, right = (a + np.flatnonzero(side[a:b] == s) for s in (0, 1)) if cross[a] else (np.arange(a, b),) * 2
+        for some in np.array_split(left, max(1, len(left) * len(right) * codes.shape[1] // 2_000_000)):
+            i, j = np.nonzero(distance(codes[some][:, None], codes[right][None]) <= most)
+            i, j = some[i], right[j]
+            pairs.append((i, j) if cross[a] else (i[i < j], j[i < j]))
     empty = np.zeros(0, np.int64)
     i, j = (np.concatenate([empty, *(p[s] for p in pairs)]) for s in (0, 1))
     keep = ~cross[i] | (side[i] != side[j])  # small groups were compared whole
     return i[keep], j[keep]
 
 
-def _compare(batch: pa.Table, bounds: np.ndarray, threshold: float) -> pa.RecordBatch:
-    """(id, n, root) for the rows of whole groups: links counted in their first table only, and a link that joins."""
-    key = np.stack([batch[c].to_numpy() for c in ("t", "sub", "i", "j")])
+def _candidates(batch: pa.Table, bounds: np.ndarray, plan: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that are near by the code and that this group answers for.
+
+    A pair belongs to the first table in which it is within the radius, and
+    there to the bucket of its smaller id's own substring.
+    """
+    t, sub, i, j = (batch[c].to_numpy() for c in ("t", "sub", "i", "j"))
+    ids = batch["id"].to_numpy()
+    keys, codes = (np.asarray(batch[c].combine_chunks().flatten()).reshape(batch.num_rows, -1) for c in ("keys", "code"))
+    a, b = _near_codes(codes, bounds, i != j, batch["block"].to_numpy() == j, plan.most)
+    keep = np.zeros(len(a), bool)
+    step = max(1, 4_000_000 // plan.tables)
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step], b[lo : lo + step]
+        within = np.bitwise_count(keys[x] ^ keys[y]) <= plan.radius
+        owner = np.where(ids[x] < ids[y], x, y)
+        keep[lo : lo + step] = within.any(1) & (within.argmax(1) == t[x]) & (keys[owner, t[x]] == sub[x])
+    return a[keep], b[keep]
+
+
+def _sift(batch: pa.Table, bounds: np.ndarray, plan: Tables) -> pa.Table:
+    """The rows of whole groups that have a candidate there."""
+    i, j = _candidates(batch, bounds, plan)
+    some = np.unique(np.concatenate([i, j]))
+    return batch.select(["t", "sub", "i", "j", "block", "id"]).take(pa.array(some))
+
+
+def _compare(batch: pa.Table, bounds: np.ndarray, plan: Tables, threshold: float) -> pa.RecordBatch:
+    """(id, n, root) for the rows of whole groups: links to candidates, and a link that joins."""
+    i, j = _candidates(batch, bounds, plan)
     x = _matrix(batch["embedding"].combine_chunks())
-    cross = key[2] != key[3]
-    i, j = _linked(x, bounds, cross, batch["block"].to_numpy() == key[3], threshold)
+    group = np.searchsorted(bounds, i, "right") - 1
+    cosine, size = np.zeros(len(i)), np.diff(bounds)
+    order = np.argsort(group, kind="stable")
+    i, j, group = i[order], j[order], group[order]
+    dense = np.bincount(group, minlength=len(size)) * 8 > size * size
+    for g in np.unique(group[dense[group] & (size[group] > SMALL)]):
+        at = slice(*np.searchsorted(group, [g, g + 1]))
+        a, b = bounds[g], bounds[g + 1]
+        cosine[at] = (x[a:b] @ x[a:b].T)[i[at] - a, j[at] - a]
+    rest = np.flatnonzero(~(dense[group] & (size[group] > SMALL)))
+    step = max(1, 1_000_000 // x.shape[1])
+    for lo in range(0, len(rest), step):
+        at = rest[lo : lo + step]
+        cosine[at] = (x[i[at]] * x[j[at]]).sum(1)
+    i, j = i[cosine >= threshold], j[cosine >= threshold]
     ids, weight = batch["id"].to_numpy(), batch["weight"].to_numpy()
-    keys = np.asarray(batch["keys"].combine_chunks().flatten()).reshape(batch.num_rows, -1)
-    # of the tables in which a pair meets the first counts it
-    first = (keys[i] == keys[j]).argmax(1) == key[0][i] if len(i) else np.zeros(0, bool)
     count = np.zeros(batch.num_rows, np.int64)
-    np.add.at(count, i[first], weight[j[first]])
-    np.add.at(count, j[first], weight[i[first]])
+    np.add.at(count, i, weight[j])
+    np.add.at(count, j, weight[i])
     root = local_roots(batch.num_rows, i, j)
-    tell = (count > 0) | (root != np.arange(batch.num_rows))
+    tell = count > 0
     return pa.RecordBatch.from_arrays([pa.array(ids[tell]), pa.array(count[tell]), pa.array(ids[root[tell]])], ["id", "n", "root"])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): links are pairs of cosine at least ``threshold`` that share a bucket.
+    """(vec_id, n_links, component_id, kept): links are pairs of cosine at least ``threshold`` that meet in a Hamming table.
 
     n_links counts the other rows linked directly, component_id is the
     smallest vec_id reachable by links, kept means it is one's own.
@@ -218,29 +315,41 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 def _search(rows: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, n, root) of class representatives, written to the shared folder."""
     sample = rows.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE_ROWS).toArrow()["embedding"]
-    width, tables, mean, projection = fit_tables(_matrix(sample.combine_chunks()), n, threshold)
-    places = 1 << np.arange(width, dtype=np.int64)
+    plan = fit_tables(_matrix(sample.combine_chunks()), n, threshold)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = (_matrix(batch.column(2)) - mean) @ projection >= 0
-            keys = (bits.reshape(len(bits), tables, width) @ places).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["id", "weight", "embedding", "keys"])
+            x = _matrix(batch.column(2))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel())) for v in (plan.keys(x), plan.codes(x))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], ["id", "weight", "embedding", "keys", "code"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
     reps = rows.join(classes.withColumnRenamed("id", "vec_id"), ["e1", "e2", "vec_id"]).dropDuplicates(["vec_id", "e1", "e2"])
-    coded = materialize(reps.select(F.col("vec_id").alias("id"), "weight", "embedding").mapInArrow(code, f"id long, weight long, embedding {kind}, keys array<int>"), "coded")
+    coded = materialize(reps.select(F.col("vec_id").alias("id"), "weight", "embedding").mapInArrow(code, f"id long, weight long, embedding {kind}, keys array<int>, code array<long>"), "coded")
     again = F.pmod(F.xxhash64("t", "sub"), F.lit(1024)).alias("again")
-    posted = coded.select("id", F.posexplode("keys").alias("t", "sub"))
-    buckets = posted.groupBy("t", "sub").agg(F.count("*").alias("size")).where("size > 1").select("t", "sub", F.ceil(F.col("size") / BLOCK).alias("blocks"), again)
-    placed = posted.select("*", again).join(buckets, ["t", "sub", "again"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    around = F.explode(F.array(*[F.lit(f) for f in flips(plan.width, plan.radius)])).alias("flip")
+    posted = coded.select("id", F.posexplode("keys").alias("t", "key")).select("id", "t", "key", around).select("id", "t", F.col("key").bitwiseXOR(F.col("flip")).alias("sub"), (F.col("flip") == 0).alias("own"))
+    # a bucket that is no row's own substring is never answered for
+    sizes = posted.groupBy("t", "sub").agg(F.count("*").alias("size"), F.max("own").alias("own")).where("size > 1 and own")
+    buckets = sizes.select("t", "sub", F.ceil(F.col("size") / BLOCK).alias("blocks"), again)
+    placed = posted.select("id", "t", "sub", again).join(buckets, ["t", "sub", "again"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     cells = placed.select("id", "t", "sub", "block", other).select("id", "t", "sub", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = cells.join(coded, "id").repartition("t", "sub", "i", "j").sortWithinPartitions("t", "sub", "i", "j")
+    cell = ["t", "sub", "i", "j"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, ("t", "sub", "i", "j"), GATHER):
-            yield _compare(rows, bounds, threshold)
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, tuple(cell), GATHER):
+            yield from _sift(rows, bounds, plan).to_batches()
 
-    return materialize(full.select("t", "sub", "i", "j", "block", "id", "weight", "embedding", "keys").mapInArrow(compare, "id long, n long, root long"), "linked")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, tuple(cell), GATHER):
+            yield _compare(rows, bounds, plan, threshold)
+
+    # codes alone are sent to the buckets; vectors only to where they have a candidate
+    met = cells.join(coded.select("id", "keys", "code"), "id").repartition(*cell).sortWithinPartitions(*cell)
+    near = materialize(met.select(*cell, "block", "id", "keys", "code").mapInArrow(sift, "t int, sub int, i long, j long, block long, id long"), "near")
+    full = near.join(coded, "id").repartition(*cell).sortWithinPartitions(*cell)
+    linked = materialize(full.select(*cell, "block", "id", "weight", "embedding", "keys", "code").mapInArrow(compare, "id long, n long, root long"), "linked")
+    release(near)
+    release(coded)
+    return linked

@@ -1,11 +1,15 @@
 """Vector links against all pairs, and exact top-k on odd rows."""
 
+from dataclasses import replace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import components
+from pyspark.sql import functions as F
 
 from gridloom.llm import embedding, topk
-from gridloom.llm.embedding import _pairs_at, fit_tables, learn_rotations, near_vectors, plan_tables
+from gridloom.llm.embedding import _pairs_at, distance, fit_tables, flips, learn_rotations, near_vectors, plan_tables
 from gridloom.llm.topk import exact_top_k
 
 
@@ -49,12 +53,19 @@ def test_query_recall(spark, sf):
     import pyarrow.parquet as pq
 
     x = np.array(pq.read_table(f"{sf}/embeddings.parquet")["embedding"].to_pylist())
-    degree, _ = brute(x)
-    got = near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).toPandas()
-    assert len(got) == len(x) and (got.n_links.sum() >= 0.9 * degree.sum()) and (got.n_links.sum() <= degree.sum())
-
-
-@pytest.mark.parametrize("share", [0.0, 0.7])
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    # the table itself holds no link, so copies turned by a little stand beside it
+    rng = np.random.default_rng(8)
+    near = np.concatenate([x + rng.standard_normal(x.shape) * np.linalg.norm(x, axis=1)[:, None] * e for e in (0.02, 0.036)])
+    beside = spark.createDataFrame([(10**6 + i, v) for i, v in enumerate(near.tolist())], "vec_id long, embedding array<float>")
+    for df, rows, links in ((table, x, 0), (table.select("vec_id", F.col("embedding").cast("array<float>")).union(beside), np.concatenate([x, near]), 2 * len(x))):
+        degree, _ = brute(rows)
+        got = near_vectors(df).toPandas()
+        assert degree.sum() >= links and len(got) == len(rows)
+        assert 0.94 * degree.sum() <= got.n_links.sum() <= degree.sum()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.7, 0.9])
 def test_recall_at_the_threshold_with_a_shared_mean(spark, share):
     """Pairs of cosine 0.95 to 0.97 whose vectors all share a direction are found as planned."""
     x, y = pairs(3000, 64, share)
@@ -77,15 +88,34 @@ def pairs(n, d, share, seed=3):
     return x, cosine * x + np.sqrt(1 - cosine**2) * step
 
 
-@pytest.mark.parametrize("share", [0.0, 0.7, 0.95])
-def test_tables_reach_the_recall_measured(monkeypatch, share):
-    """Pairs at the threshold that the plan has not seen share a bucket as often as wanted."""
+def met(plan, a, b):
+    """Which pairs meet in a table and are near by the code."""
+    within = np.bitwise_count(plan.keys(a) ^ plan.keys(b)) <= plan.radius
+    return within.any(1) & (distance(plan.codes(a), plan.codes(b)) <= plan.most)
+
+
+@pytest.mark.parametrize("dims", [64, 384])
+@pytest.mark.parametrize("shared", [0.0, 0.3, 0.5, 0.7, 0.8, 0.9])
+def test_tables_reach_the_recall_measured(monkeypatch, shared, dims):
+    """Pairs at the threshold that the plan has not seen meet as often as wanted; ``shared`` is the cosine of unrelated vectors."""
     monkeypatch.setattr(embedding, "SAMPLE_ROWS", 2000)
-    x, _ = pairs(8000, 64, share)
-    width, tables, mean, projection = fit_tables(x[:4000], 100_000, 0.95, iterations=5)
-    (a, b), *_ = _pairs_at(x[4000:], 0.95, seed=11)
-    same = (((a - mean) @ projection >= 0) == ((b - mean) @ projection >= 0)).reshape(len(a), tables, width)
-    assert same.all(2).any(1).mean() >= embedding.RECALL - 0.015 and width >= 4
+    x, _ = pairs(8000, dims, np.sqrt(shared))
+    for n in (10_000, 1_000_000):
+        plan = fit_tables(x[:4000], n, 0.95, iterations=5)
+        (a, b), *_ = _pairs_at(x[4000:], 0.95, seed=11)
+        assert met(plan, a, b).mean() >= embedding.RECALL - 0.02 and plan.width >= 4
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_a_wider_radius_finds_the_same_links(spark, monkeypatch, radius):
+    """Every pair is counted once, whatever the tables and buckets it meets in."""
+    x = clustered()
+    degree, component = brute(x)
+    plan = fit_tables(embedding._matrix(pa.array(list(x.astype(np.float32)))), 400, 0.95)
+    assert set(flips(5, radius)) == {k for k in range(32) if k.bit_count() <= radius}
+    monkeypatch.setattr(embedding, "fit_tables", lambda *_: replace(plan, radius=radius))
+    got = near_vectors(frame(spark, x)).toPandas().set_index("vec_id").n_links.sort_index().to_numpy()
+    assert (got <= degree).all() and got.sum() >= 0.95 * degree.sum()
 
 
 def test_every_length_is_searched(spark):
