@@ -146,7 +146,7 @@ SEMIRINGS = {
     s.name: s for s in (PLUS_TIMES, LOR_LAND, FIRST_WINS, SECOND_WINS, FIRST_MIN, PLUS_SECOND, STRUCTURAL, MIN_PLUS, LESS_PLUS, MIN_SECOND, MIN_NE, PLUS_PAIR)
 }
 
-#: Names by value type, as C programs call the same operators.
+#: Names by value type, as C programs call the same operators.
 TYPED_NAMES = {
     "GrB_DIV_FP32": DIV,
     "GrB_MAX_FP32": MAX,

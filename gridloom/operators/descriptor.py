@@ -18,7 +18,7 @@ class Descriptor:
     output keeps them. ``transpose_a``, ``transpose_b``: transpose a matrix
     input first. ``strategy``: ``"broadcast"`` sends the vector or second
     matrix to all executors (the caller has checked its size); names of
-    multiplication loops are accepted and leave the choice to Spark.
+    multiplication loops and of directions are accepted and leave the choice to Spark.
     """
 
     mask: str = "value"
@@ -30,7 +30,7 @@ class Descriptor:
     def __post_init__(self):
         if self.mask not in MASKS:
             raise InvalidValue(f"mask must be one of {MASKS}")
-        if self.strategy not in ("auto", "broadcast", "ijk", "ijk_double_sort", "ikj", "ikj_masked"):
+        if self.strategy not in ("auto", "broadcast", "ijk", "ijk_double_sort", "ikj", "ikj_masked", "push", "pull", "push_pull"):
             raise InvalidValue(f"unknown strategy {self.strategy!r}")
 
     @property
@@ -61,6 +61,9 @@ C = Descriptor(mask="complement")
 S = Descriptor(mask="structure")
 SC = Descriptor(mask="structural_complement")
 RSC = Descriptor(mask="structural_complement", replace=True)
+PUSH = Descriptor(strategy="push")
+PULL = Descriptor(strategy="pull")
+PUSH_PULL = Descriptor(strategy="push_pull")
 IKJ = Descriptor(strategy="ikj")
 IKJ_MASKED = Descriptor(strategy="ikj_masked")
 IJK = Descriptor(strategy="ijk")

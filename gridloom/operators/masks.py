@@ -27,9 +27,17 @@ def outside(df: DataFrame, keys: list[str], mask: DataFrame, desc: Descriptor) -
     return df.join(positions(mask, keys, desc), keys, "left_semi" if desc.complemented else "left_anti")
 
 
-def written(new: DataFrame, keys: list[str], mask: DataFrame | None, accum: BinaryOp | None, old: DataFrame | None, desc: Descriptor) -> DataFrame:
-    """The output: ``new`` inside the mask, accumulated with the old values there; old values outside unless replaced."""
-    new = inside(new, keys, mask, desc)
+def restricted(edges: DataFrame, axis: str, mask: DataFrame | None, desc: Descriptor) -> DataFrame:
+    """Entries of a matrix whose ``axis`` is a position that a vector mask lets through: the others need not be multiplied."""
+    return edges if mask is None else inside(edges, [axis], mask.withColumnRenamed("idx", axis), desc)
+
+
+def written(new: DataFrame, keys: list[str], mask: DataFrame | None, accum: BinaryOp | None, old: DataFrame | None, desc: Descriptor, masked: bool = False) -> DataFrame:
+    """The output: ``new`` inside the mask, accumulated with the old values there; old values outside unless replaced.
+
+    ``masked``: ``new`` holds nothing outside the mask.
+    """
+    new = new if masked else inside(new, keys, mask, desc)
     if old is None:
         return new.select(*keys, "val")
     if accum is not None:

@@ -1,7 +1,10 @@
 """The operations: products, element-wise operations, apply, select, assign, extract, reduce.
 
-A product is a join and a grouped aggregate; a mask is a semi or anti join on
-the result's key, which Spark pushes below the aggregate and the join.
+A product is a join and a grouped aggregate. A mask keeps what it holds back
+from being multiplied: with a vector result it is a semi or anti join on the
+matrix before the product, with a matrix result the product starts from the
+mask's positions. Only the complement of a matrix mask, which names nearly all
+positions, is an anti join on the aggregated result.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import DimensionMismatch, IndexOutOfBounds, NullPointer
 from gridloom.functions.algebra import PLUS_TIMES, BinaryOp, Monoid, Semiring, UnaryOp, binary, unary
 from gridloom.operators.descriptor import DEFAULT, Descriptor
-from gridloom.operators.masks import inside, written
+from gridloom.operators.masks import inside, positions, restricted, written
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
 
@@ -48,9 +51,9 @@ def mxv(
     _same(a.ncols, u.size)
     right = u.df.select(F.col("idx").alias("col"), F.col("val").alias("u"))
     right = F.broadcast(right) if desc.strategy == "broadcast" else right
-    joined = a.df.join(right, "col")
+    joined = restricted(a.df, "row", _df(mask), desc).join(right, "col")
     w = _product(joined, [F.col("row")], IDX, ring, F.col("val"), F.col("u"), F.col("col"))
-    return Vector(written(w, IDX, _df(mask), accum, _df(out), desc), a.nrows)
+    return Vector(written(w, IDX, _df(mask), accum, _df(out), desc, masked=True), a.nrows)
 
 
 def vxm(
@@ -63,15 +66,37 @@ def vxm(
     _same(a.nrows, u.size)
     left = u.df.select(F.col("idx").alias("row"), F.col("val").alias("u"))
     left = F.broadcast(left) if desc.strategy == "broadcast" else left
-    joined = a.df.join(left, "row")
+    joined = restricted(a.df, "col", _df(mask), desc).join(left, "row")
     w = _product(joined, [F.col("col")], IDX, ring, F.col("u"), F.col("val"), F.col("row"))
-    return Vector(written(w, IDX, _df(mask), accum, _df(out), desc), a.ncols)
+    return Vector(written(w, IDX, _df(mask), accum, _df(out), desc, masked=True), a.ncols)
+
+
+def _pairs_inside(left: DataFrame, right: DataFrame, mask: DataFrame, desc: Descriptor) -> DataFrame:
+    """Factors of the products at the positions of a mask: (row, col, k, a, b).
+
+    Each position takes its candidates from the shorter of its row on the left
+    and its column on the right and looks them up on the other side. So a hub
+    that meets small vertices is never expanded, and the rows in between number
+    at most the sum of min(row length, column length) over the mask.
+    """
+    at = positions(mask, CELL, desc).distinct()
+    rows = left.groupBy("row").agg(F.count(F.lit(1)).alias("r"))
+    cols = right.groupBy("col").agg(F.count(F.lit(1)).alias("c"))
+    sized = at.join(rows, "row").join(cols, "col")
+    by_row = sized.where("r <= c").select(*CELL).join(left, "row").join(right, ["k", "col"])
+    by_col = sized.where("r > c").select(*CELL).join(right, "col").join(left, ["row", "k"])
+    return by_row.select(*CELL, "k", "a", "b").union(by_col.select(*CELL, "k", "a", "b"))
 
 
 def mxm(
-    a: Matrix, b: Matrix, ring: Semiring = PLUS_TIMES, mask: Matrix | None = None, accum: BinaryOp | None = None, out: Matrix | None = None, desc: Descriptor = DEFAULT
+    a: Matrix, b: Matrix, ring: Semiring = PLUS_TIMES, mask: Matrix | None = None, accum: BinaryOp | None = None, out: Matrix | None = None, desc: Descriptor = DEFAULT, keep_zeros: bool = False
 ) -> Matrix:
-    """c[i, j] = sum over k of a[i, k] * b[k, j] in ``ring``; zeros are dropped from unmasked results."""
+    """c[i, j] = sum over k of a[i, k] * b[k, j] in ``ring``.
+
+    Where 0 is the sum over nothing, as in plus-times, zeros are dropped from
+    unmasked results unless ``keep_zeros``; elsewhere, as in min-plus, 0 is a
+    value like any other.
+    """
     if a is None or b is None:
         raise NullPointer("both matrices must be given")
     a, b = a.T if desc.transpose_a else a, b.T if desc.transpose_b else b
@@ -79,10 +104,12 @@ def mxm(
     left = a.df.select("row", F.col("col").alias("k"), F.col("val").alias("a"))
     right = b.df.select(F.col("row").alias("k"), "col", F.col("val").alias("b"))
     right = F.broadcast(right) if desc.strategy == "broadcast" else right
-    c = _product(left.join(right, "k"), [F.col("row"), F.col("col")], CELL, ring, F.col("a"), F.col("b"), F.col("k"))
-    if mask is None:
+    driven = mask is not None and not desc.complemented
+    factors = _pairs_inside(left, right, mask.df, desc) if driven else left.join(right, "k")
+    c = _product(factors, [F.col("row"), F.col("col")], CELL, ring, F.col("a"), F.col("b"), F.col("k"))
+    if mask is None and ring.add.identity == 0 and not keep_zeros:
         c = c.where(F.col("val") != 0)
-    return Matrix(written(c, CELL, _df(mask), accum, _df(out), desc), a.nrows, b.ncols)
+    return Matrix(written(c, CELL, _df(mask), accum, _df(out), desc, masked=driven), a.nrows, b.ncols)
 
 
 def _paired(u: Vector, v: Vector, how: str) -> DataFrame:

@@ -6,11 +6,12 @@ from functools import reduce as fold
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, LongType
 
 from gridloom.errors import InvalidValue
 from gridloom.functions.algebra import MIN, MIN_SECOND, PLUS_MONOID, PLUS_PAIR, PLUS_SECOND
 from gridloom.operators import ops
-from gridloom.operators.descriptor import DEFAULT
+from gridloom.operators.descriptor import DEFAULT, S
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
 from gridloom.plans.iterate import fixpoint, near, settled
@@ -45,7 +46,7 @@ def bfs(a: Matrix, source: int, parents: bool = False, depth: int | None = None)
     spark = a.df.sparkSession
     start = spark.range(1).select(F.lit(source).cast("long").alias("idx"), F.lit(1).cast("long").alias("level"), F.lit(source).cast("long").alias("parent"))
     frontier = materialize(start, "bfs")
-    visited, rows, level = [frontier], 1, 1
+    visited, rows, level, held = [frontier], 1, 1, None
     while rows and (depth is None or level < depth):
         level += 1
         step = edges.join(near(frontier.select(F.col("idx").alias("row")), rows), "row").groupBy(F.col("col").alias("idx")).agg(F.min("row").alias("parent"))
@@ -54,47 +55,66 @@ def bfs(a: Matrix, source: int, parents: bool = False, depth: int | None = None)
         rows = frontier.metrics["rows"]
         visited.append(frontier)
         if len(visited) >= COMPACT:
-            held = materialize(frontier, "bfs")
-            visited, frontier = _compacted(visited, "bfs"), held
+            before, frontier = held, materialize(frontier, "bfs")
+            visited, held = _compacted(visited, "bfs"), frontier
+            if before is not None:
+                release(before)
     release(edges)
     return _all(visited).select("idx", "level", *(["parent"] if parents else []))
 
 
-def sssp(a: Matrix, source: int, most: int | None = None) -> DataFrame:
+#: Names of the ways to relax; all have the same distances.
+SSSP_METHODS = ("frontier", "bellman_ford")
+
+
+def _wide(kind: DataType) -> DataType:
+    """What distances of such weights are kept in: sums of decimals stay decimals, of whole numbers long."""
+    if isinstance(kind, DecimalType):
+        return DecimalType(38, kind.scale)
+    return kind if kind.typeName() in ("double", "float") else LongType()
+
+
+def sssp(a: Matrix, source: int, most: int | None = None, method: str = "frontier") -> DataFrame:
     """(idx, dist): least sum of weights along out-edges from ``source``; unreachable vertices are absent.
 
-    Only vertices that got closer are relaxed in the next round. Negative
-    weights are allowed, negative cycles are not: after as many rounds as there
+    Only vertices that got closer are relaxed in the next round; with
+    ``method="bellman_ford"`` all vertices reached are. Distances have the
+    weights' own type, decimals included. Negative weights are allowed, negative cycles are not: after as many rounds as there
     are vertices they raise an error.
     """
+    if method not in SSSP_METHODS:
+        raise InvalidValue(f"method must be one of {SSSP_METHODS}")
     edges = settled(a.df.groupBy("row", "col").agg(F.min("val").alias("val")), "row", "sssp-edges")
-    kind = edges.schema["val"].dataType
-    kind = kind if kind.typeName() in ("double", "float", "long") else "long"
+    kind = _wide(edges.schema["val"].dataType)
     spark = a.df.sparkSession
     frontier = materialize(spark.range(1).select(F.lit(source).cast("long").alias("idx"), F.lit(0).cast(kind).alias("dist")), "sssp")
-    found, rows, rounds = [frontier], 1, 0
+    found, rows, rounds, held = [frontier], 1, 0, None
     while rows:
         rounds += 1
         if rounds > (most or a.nrows + 1):
             raise InvalidValue("the graph has a cycle of negative weight")
-        step = edges.join(near(frontier.withColumnRenamed("idx", "row"), rows), "row").groupBy(F.col("col").alias("idx")).agg(F.min(F.col("dist") + F.col("val")).alias("new"))
         known = _all(found).groupBy("idx").agg(F.min("dist").alias("dist"))
+        relaxed = near(frontier.withColumnRenamed("idx", "row"), rows) if method == "frontier" else known.withColumnRenamed("idx", "row")
+        step = edges.join(relaxed, "row").groupBy(F.col("col").alias("idx")).agg(F.min((F.col("dist") + F.col("val")).cast(kind)).alias("new"))
         closer = step.join(known, "idx", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("idx", F.col("new").cast(kind).alias("dist"))
         frontier = materialize(closer, "sssp", rows=F.count(F.lit(1)))
         rows = frontier.metrics["rows"]
         found.append(frontier)
         if len(found) >= COMPACT:
-            held = materialize(frontier, "sssp")
-            found, frontier = _compacted(found, "sssp"), held
+            before, frontier = held, materialize(frontier, "sssp")
+            found, held = _compacted(found, "sssp"), frontier
+            if before is not None:
+                release(before)
     release(edges)
     return _all(found).groupBy("idx").agg(F.min("dist").alias("dist"))
 
 
-def connected_components(a: Matrix, most: int = 100) -> DataFrame:
+def connected_components(a: Matrix, most: int | None = None) -> DataFrame:
     """(idx, label) of all vertices 0 to n - 1; the label is the smallest vertex of the component.
 
     Rounds of min-label hooking with shortcuts: every vertex learns the least
-    grandparent around it, hooks its parent there, and halves its path.
+    grandparent around it, hooks its parent there, and halves its path. If
+    ``most`` is given and so many rounds do not suffice, that is an error.
     """
     n = max(a.nrows, a.ncols)
     spark = a.df.sparkSession
@@ -110,7 +130,7 @@ def connected_components(a: Matrix, most: int = 100) -> DataFrame:
         # the parent's parent: paths halve
         return ops.extract(lowered, lowered).df.select("idx", "val")
 
-    labels = fixpoint(start, step, None, most, "cc")
+    labels = fixpoint(start, step, None, most or n + 1, "cc", settle=True)
     release(sym)
     return labels.select("idx", F.col("val").alias("label"))
 
@@ -206,9 +226,13 @@ def triangle_count(a: Matrix, method: str = "sandia", presort: bool = False) ->
 
 
 def trace_cubed(a: Matrix) -> int:
-    """Six times the triangles of a simple graph: the diagonal of the third power."""
-    cube = ops.mxm(ops.mxm(a, a), a)
-    return cube.df.where("row = col").agg(F.coalesce(F.sum("val"), F.lit(0))).head()[0]
+    """Six times the triangles of a simple graph: the diagonal of the third power.
+
+    The diagonal needs the square only where the transpose has an entry.
+    """
+    back = a.T
+    square = ops.mxm(a, a, mask=back, desc=S).df.withColumnRenamed("val", "walks")
+    return square.join(back.df, ["row", "col"]).agg(F.coalesce(F.sum(F.col("walks") * F.col("val")), F.lit(0))).head()[0]
 
 
 def label_bijection(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ _sql: dict[str, str] = {}
 _CTE = {
     "sp": "select l_suppkey as r, l_partkey as c, sum(l_quantity) as v from lineitem group by all",
     "cp": "select o_custkey as r, l_partkey as c, count(*) as v from orders join lineitem on o_orderkey = l_orderkey group by all",
-    "heavy": "select distinct l_orderkey as o, l_partkey as p from lineitem where l_quantity > 40",
-    "cow": "select a.p as r, b.p as c, count(*) as v from heavy a join heavy b on a.o = b.o and a.p <> b.p group by all",
+    "bought": "select distinct l_orderkey as o, l_partkey as p from lineitem",
+    "cow": "select a.p as r, b.p as c, count(*) as v from bought a join bought b on a.o = b.o and a.p <> b.p group by all",
     "co": "select r, c, 1::bigint as v from cow",
     "ps": "select p_partkey as i, p_size::bigint as v from part",
     "sn": "select s_suppkey as i, s_nationkey::bigint as v from supplier",
@@ -41,7 +41,7 @@ _CTE = {
     "uk": "select user_id as r, json_extract_string(props, '$.k')::bigint as c, count(*) as v from events where json_extract_string(props, '$.k') is not null group by all",
     "em": "select vec_id as r, unnest(generate_series(0, len(embedding) - 1)) as c, unnest(embedding)::double as v from embeddings",
 }
-_NEEDS = {"cow": ["heavy"], "co": ["heavy", "cow"], "mask": ["sn"], "eu": ["ps"], "tv": ["ps"], "ev": ["kinds"]}
+_NEEDS = {"cow": ["bought"], "co": ["bought", "cow"], "mask": ["sn"], "eu": ["ps"], "tv": ["ps"], "ev": ["kinds"]}
 
 
 def _with(ctes: str, body: str) -> str:
@@ -201,10 +201,13 @@ def _(spark, d):
     return ops.mxm(a, a, mask=a, desc=Descriptor(strategy="ikj_masked")).df
 
 
-@_query("mxm_complement", "co", _TWO.format("sum(a.v * b.v)::bigint", "not exists", g="co"))
+@_query("mxm_complement", "sp cp sn cn", """select a.r as "row", b.r as "col", sum(a.v * b.v)::bigint as val from sp a join cp b on a.c = b.c
+  where not exists (select 1 from sn join cn on sn.v = cn.v where sn.i = a.r and cn.i = b.r) group by all""")
 def _(spark, d):
-    a = fx.co_purchase(spark, d)
-    return ops.mxm(a, a, mask=a, desc=SC).df
+    a, b = fx.supplier_part(spark, d), fx.customer_part(spark, d)
+    home, away = fx.supplier_nation(spark, d).df.withColumnRenamed("idx", "row"), fx.customer_nation(spark, d).df.withColumnRenamed("idx", "col")
+    compatriots = Matrix(home.join(away, "val").select("row", "col", "val"), a.nrows, b.nrows)
+    return ops.mxm(a, b.T, mask=compatriots, desc=SC).df.withColumn("val", F.col("val").cast("long"))
 
 
 @_query("mxm_plus_pair_masked", "co", _TWO.format("count(*)", "exists", g="co"))
@@ -219,6 +222,36 @@ def _(spark, d):
     return ops.mxm(a, a, al.MIN_PLUS).df
 
 
+def _spread(spark, d) -> Matrix:
+    """Event transitions weighted 0 or 1, all zero in row 0."""
+    a = fx.event_transitions(spark, d)
+    return a.with_df(a.df.withColumn("val", (F.col("row") * F.col("col")) % 2))
+
+
+_SPREAD = "e as (select r, c, (r * c) % 2 as v from ev)"
+
+
+@_query("mxm_min_plus_zero", "ev", ", " + _SPREAD + ' select a.r as "row", b.c as "col", min(a.v + b.v)::bigint as val from e a join e b on a.c = b.r group by all')
+def _(spark, d):
+    return ops.mxm(_spread(spark, d), _spread(spark, d), al.MIN_PLUS).df
+
+
+@_query("mxm_keep_zeros", "ev", ", " + _SPREAD + ' select a.r as "row", b.c as "col", sum(a.v * b.v)::bigint as val from e a join e b on a.c = b.r group by all')
+def _(spark, d):
+    return ops.mxm(_spread(spark, d), _spread(spark, d), keep_zeros=True).df
+
+
+@_query("mxm_drops_zeros", "ev", ", " + _SPREAD + ' select a.r as "row", b.c as "col", sum(a.v * b.v)::bigint as val from e a join e b on a.c = b.r group by all having sum(a.v * b.v) <> 0')
+def _(spark, d):
+    return ops.mxm(_spread(spark, d), _spread(spark, d)).df
+
+
+@_query("mxm_less_plus", "ev", 'select a.r as "row", b.c as "col", min(a.v + b.v) as val from ev a join ev b on a.c = b.r group by all')
+def _(spark, d):
+    a = fx.event_transitions(spark, d)
+    return ops.mxm(a, a, al.SEMIRINGS["less_plus"]).df
+
+
 @_query("mxm_accum", "ev", 'select coalesce(p.r, o.r) as "row", coalesce(p.c, o.c) as "col", coalesce(o.v + p.v, o.v, p.v)::bigint as val from (select a.r, b.c, sum(a.v * b.v) as v from ev a join ev b on a.c = b.r group by all) p full outer join ev o on p.r = o.r and p.c = o.c')
 def _(spark, d):
     a = fx.event_transitions(spark, d)
@@ -327,7 +360,8 @@ _on_co("reduce_matrix_max", lambda a: ops.reduce_table(a, al.MAX_MONOID), "selec
 _on_co("nnz", lambda a: a.df.agg(F.count("*").alias("n")), "select count(*) as n from cow")
 
 
-@_query("is_symmetric", "cow", "select (not exists (select r, c from cow except select c, r from cow))::bigint as symmetric, 0::bigint as lower_symmetric")
+@_query("is_symmetric", "cow", """select (not exists (select r, c from cow except select c, r from cow))::bigint as symmetric,
+  (not exists (select r, c from cow where c < r except select c, r from cow where c < r))::bigint as lower_symmetric""")
 def _(spark, d):
     a = fx.co_purchase(spark, d)
     return spark.range(1).select(F.lit(int(a.is_symmetric())).cast("long").alias("symmetric"), F.lit(int(a.tril().is_symmetric())).cast("long").alias("lower_symmetric"))
@@ -444,7 +478,7 @@ def _(spark, d):
     return spark.range(1).select(F.lit(ops.reduce(fx.part_size(spark, d), al.PLUS_MONOID, al.PLUS, 1000)).cast("long").alias("val"))
 
 
-@_query("reduce_include_zeros", "eu", "select 0::bigint as val")
+@_query("reduce_include_zeros", "ps eu", "select min(coalesce(eu.v, 0))::bigint as val from ps left join eu on eu.i = ps.i")
 def _(spark, d):
     return ops.reduce_table(_even(spark, d), al.MIN_MONOID, include_zeros=True)
 
@@ -541,6 +575,72 @@ def _(spark, d):
     return files.read_mtx(spark, path, strict=True).df
 
 
+@_query("mtxbin_round_trip", "co", 'select r as "row", c as "col", v as val from co')
+def _(spark, d):
+    path = new_path(spark, "graph") + ".mtxbin"
+    files.write_mtxbin(fx.co_purchase(spark, d), path, part_edges=10_000)
+    return files.read_mtx(spark, path).df
+
+
+@_query("edge_list_read", "co", 'select r as "row", c as "col", v as val from co union all select c, r, v from co')
+def _(spark, d):
+    path = new_path(spark, "edges")
+    edges = fx.co_purchase(spark, d).df.select("row", "col", F.concat_ws(" ", "row", "col").alias("value"))
+    head = spark.createDataFrame([(-1, i, "3 3") for i in range(files.EDGE_LIST_HEADER)], "row long, col long, value string")
+    head.union(edges).orderBy("row", "col").select("value").write.text(path)
+    return files.read_edge_list(spark, path, undirected=True).df
+
+
+@_query("raw_lines_read", "co", 'select r as "row", c as "col", v as val from co')
+def _(spark, d):
+    path = new_path(spark, "raw")
+    edges = fx.co_purchase(spark, d).df
+    edges.select(F.concat(F.lit(" "), "row", F.lit("\t"), "col", F.lit(" 0.5")).alias("value")).union(spark.createDataFrame([("% made here",)], "value string")).write.text(path)
+    return files.convert_raw(spark, path).df
+
+
+@_query("shuffled_degrees", "co", "select d as degree, count(*) as vertices from (select r, count(*) as d from co group by r) group by d")
+def _(spark, d):
+    shuffled = fx.co_purchase(spark, d).shuffled(3)
+    return shuffled.degrees().df.where("val > 0").groupBy(F.col("val").alias("degree")).agg(F.count("*").alias("vertices"))
+
+
+@_query("vector_dup", "ps", "select i as idx, v as val from ps")
+def _(spark, d):
+    return fx.part_size(spark, d).dup().df
+
+
+@_query("vector_get_at", "ps", "select i, v from ps where i in (0, 1, 17)")
+def _(spark, d):
+    sizes = fx.part_size(spark, d)
+    return spark.createDataFrame([(i, sizes.get(i)) for i in (0, 1, 17)], "i long, v long")
+
+
+@_query("matrix_get", "cp", "select 0::bigint as r, c, coalesce((select v from cp where r = 0 and cp.c = t.c), 0)::bigint as v from (select unnest([0, 1, 2, 3, 4, 5, 6, 7])::bigint as c) t")
+def _(spark, d):
+    a = fx.customer_part(spark, d)
+    return spark.createDataFrame([(0, c, a.get(0, c)) for c in range(8)], "r long, c long, v long")
+
+
+@_query("sizes", "", "select (select max(s_suppkey) + 1 from supplier)::bigint as nrows, (select max(p_partkey) + 1 from part)::bigint as ncols, (select max(p_partkey) + 1 from part)::bigint as size")
+def _(spark, d):
+    a, v = fx.supplier_part(spark, d), fx.part_size(spark, d)
+    return spark.createDataFrame([(a.nrows, a.ncols, v.size)], "nrows long, ncols long, size long")
+
+
+@_query("typed_names", "ps", "select i as idx, v + 3 as val from ps")
+def _(spark, d):
+    return ops.apply_second(al.TYPED_NAMES["GrB_PLUS_FP32"], fx.part_size(spark, d), 3).df
+
+
+@_query("descriptor_toggled", "sp ps mask sn", "select r as idx, sum(sp.v * ps.v)::bigint as val from sp join ps on ps.i = c where r not in (select i from mask where v <> 0) group by r")
+def _(spark, d):
+    sizes, nations = fx.part_size(spark, d), fx.supplier_nation(spark, d)
+    mask = Vector(nations.df.where("idx % 3 = 0").withColumn("val", F.col("idx") % 2), nations.size)
+    w = ops.mxv(fx.supplier_part(spark, d), sizes, mask=mask, desc=Descriptor().toggle("mask"))
+    return w.df.withColumn("val", F.col("val").cast("long"))
+
+
 @_query("dot_lines", "cow", """select 0 as part, 0::bigint as "row", 0::bigint as "col", 'digraph G {' as value union all select 3, 0, 0, '}'
   union all select 2, r, c, r || ' -> ' || c || ' [label = "' || v || '"];' from cow""")
 def _(spark, d):
@@ -613,6 +713,22 @@ def _(spark, d):
     return alg.sssp(a.with_df(a.df.withColumn("val", 1 + (F.col("row") * 7 + F.col("col") * 7) % 10)), 0)
 
 
+_TENTHS = "g as materialized (select r, c, ((1 + (r * 7 + c * 7) % 10) / 10)::decimal(10,2) as v from co)"
+
+
+@_query("sssp_decimal", "co", ", " + _TENTHS + _rounds("g", "select 0::bigint as i, 0::decimal(38,2) as x", "(x + v)::decimal(38,2)", 24, "select i as idx, (x * 100)::bigint as cents from {last}"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    tenths = ((1 + (F.col("row") * 7 + F.col("col") * 7) % 10) / 10).cast("decimal(10,2)")
+    return alg.sssp(a.with_df(a.df.withColumn("val", tenths)), 0).select("idx", (F.col("dist") * 100).cast("long").alias("cents"))
+
+
+@_query("sssp_bellman_ford", "co", ", " + _LONG + _rounds("g", _FROM_0.format(0), "x + v", 24, "select i as idx, x as dist from {last}"))
+def _(spark, d):
+    a = fx.co_purchase(spark, d)
+    return alg.sssp(a.with_df(a.df.withColumn("val", 1 + (F.col("row") * 7 + F.col("col") * 7) % 10)), 0, method="bellman_ford")
+
+
 @_query("sssp_reached", "co", _rounds("co", _FROM_0.format(0), "x + 1", 24, "select count(*) as reached from {last}"))
 def _(spark, d):
     return alg.reached(alg.sssp(fx.co_purchase(spark, d), 0))
@@ -631,10 +747,16 @@ def _(spark, d):
     return alg.component_count(alg.connected_components(fx.co_purchase(spark, d)))
 
 
-@_query("label_bijection", "", "select 1::bigint as same")
+_SAME = """select '{0}' as pair, (count(distinct (a, b)) = count(distinct a) and count(distinct (a, b)) = count(distinct b))::bigint as same
+  from (select cn.i, cn.v as a, {1} as b from cn join nr on nr.i = cn.v)"""
+
+
+@_query("label_bijection", "cn nr", " union all ".join(_SAME.format(*x) for x in (("renamed", "cn.v * 3 + 1"), ("coarser", "nr.v"))))
 def _(spark, d):
-    labels = alg.connected_components(fx.co_purchase(spark, d))
-    return alg.label_bijection(labels, labels.withColumn("label", F.col("label") * 3 + 1))
+    nation = fx.customer_nation(spark, d).df.withColumnRenamed("val", "label")
+    region = ops.extract(fx.nation_region(spark, d), fx.customer_nation(spark, d)).df.withColumnRenamed("val", "label")
+    renamed = alg.label_bijection(nation, nation.withColumn("label", F.col("label") * 3 + 1)).withColumn("pair", F.lit("renamed"))
+    return renamed.union(alg.label_bijection(nation, region).withColumn("pair", F.lit("coarser"))).select("pair", "same")
 
 
 def _pagerank_sql(source: str, target: str, iterations: int = 10) -> str:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
 
-#: Lines of more than this quantity make their order's parts neighbours.
-CO_QUANTITY = 40
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +34,7 @@ def customer_part(spark: SparkSession, sf_dir: str) -> Matrix:
 
 
 def _orders_with_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > CO_QUANTITY).select("l_orderkey", "l_partkey").distinct()
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
 
 
 def co_purchase(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Matrix:

@@ -14,6 +14,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from gridloom.errors import InvalidValue
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, list[str]] = {}
 
@@ -21,11 +23,14 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and set as the session's checkpoint folder.
+    Only where a local session names none (single-machine tests) a temporary
+    folder is made and set as the session's checkpoint folder; a cluster's
+    executors would not see it, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise InvalidValue("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -5,12 +5,14 @@ Files are read and written by Spark, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import IndexOutOfBounds, InvalidValue
@@ -19,6 +21,7 @@ from gridloom.operators.scan import ranked
 from gridloom.operators.vector import Vector
 from gridloom.shared import importable
 
+# Fixed values of the formats.
 #: Weight of an edge in files that hold none.
 EDGE_WEIGHT = 1
 STRICT_BANNER = "%%MatrixMarket matrix coordinate pattern general"
@@ -28,6 +31,20 @@ EDGE_LIST_HEADER = 6
 BINARY_EDGES = 1 << 20
 
 
+#: Edges in a file that write_mtxbin writes.
+BINARY_PART_EDGES = 1 << 24
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, at): lines with what puts them in order, however the files are dealt to tasks."""
+    meta = F.col("_metadata")
+    return spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def _is_at(place: Row) -> Column:
+    return (F.col("file") == place["file"]) & (F.col("block") == place["block"]) & (F.col("at") == place["at"])
+
+
 def _fields(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
@@ -45,25 +62,23 @@ def read_mtx_text(spark: SparkSession, path: str, strict: bool = False) -> Matri
     """A coordinate file: comments, one line ``rows cols entries``, then 1-based ``row col``.
 
     Values are ignored; every edge weighs 1; symmetric files are not expanded.
+    ``path`` may be a folder of parts; the sizes stand in the first by name.
     ``strict`` asks for the pattern general banner and a square matrix.
     """
-    lines = spark.read.text(path).withColumn("value", F.trim("value")).where(F.col("value") != "")
+    lines = _placed(spark, path).withColumn("value", F.trim("value")).where(F.col("value") != "")
     if strict:
         banner = lines.where(F.col("value").startswith("%%")).head()
         if banner is None or " ".join(banner["value"].split()) != STRICT_BANNER:
             raise InvalidValue("not a pattern general coordinate file")
     body = lines.where(~F.col("value").startswith("%"))
-    # the size line is the first of the file and the first of its first partition
-    first = body.head()
+    first = body.agg(F.min(F.struct("file", "block", "at", "value")).alias("first")).head()["first"]
     if first is None or len(first["value"].split()) < 3:
         raise InvalidValue("the file has no size line")
     nrows, ncols, nnz = map(int, first["value"].split()[:3])
     if strict and nrows != ncols:
         raise InvalidValue("the matrix is not square")
     parts = _fields(F.col("value"))
-    numbered = body.select("value", F.monotonically_increasing_id().alias("at"))
-    start = numbered.where(F.col("value") == first["value"]).agg(F.min("at")).head()[0]
-    edges = numbered.where(F.col("at") != start).select((parts[0].cast("long") - 1).alias("row"), (parts[1].cast("long") - 1).alias("col"), F.lit(EDGE_WEIGHT).cast("long").alias("val"))
+    edges = body.where(~_is_at(first)).select((parts[0].cast("long") - 1).alias("row"), (parts[1].cast("long") - 1).alias("col"), F.lit(EDGE_WEIGHT).cast("long").alias("val"))
     return Matrix(edges, nrows, ncols)
 
 
@@ -75,7 +90,7 @@ def read_mtxbin(spark: SparkSession, path: str) -> Matrix:
     """
     importable(spark)
     files = spark.read.format("binaryFile").load(path)
-    header = files.select(F.substring("content", 1, 24).alias("head")).head()
+    header = files.where(F.length("content") >= 24).select(F.substring("content", 1, 24).alias("head")).head()
     if header is None or len(header["head"]) < 24:
         raise InvalidValue("the file has no header")
     nrows, ncols, _ = struct.unpack("<3q", bytes(header["head"]))
@@ -93,10 +108,12 @@ def read_mtxbin(spark: SparkSession, path: str) -> Matrix:
 
 
 def read_edge_list(spark: SparkSession, path: str, undirected: bool = False, header: int = EDGE_LIST_HEADER) -> Matrix:
-    """Lines of 0-based ``src dst`` after ``header`` lines; square, just large enough."""
-    lines = ranked(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")), ["at"], "line")
+    """Lines of 0-based ``src dst`` after ``header`` lines of the first file by name; square, just large enough."""
+    lines = _placed(spark, path)
+    for place in lines.orderBy("file", "block", "at").limit(header).drop("value").collect():
+        lines = lines.where(~_is_at(place))
     parts = _fields(F.col("value"))
-    edges = lines.where((F.col("line") >= header) & (F.trim("value") != "")).select(parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col"), F.lit(EDGE_WEIGHT).cast("long").alias("val"))
+    edges = lines.where(F.trim("value") != "").select(parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col"), F.lit(EDGE_WEIGHT).cast("long").alias("val"))
     low, high = edges.agg(F.min(F.least("row", "col")), F.max(F.greatest("row", "col"))).head()
     if low is not None and low < 0:
         raise IndexOutOfBounds("an edge has a negative end")
@@ -132,12 +149,62 @@ def write_mtx(a: Matrix, path: str) -> None:
     mtx_lines(a).orderBy("pos").select("value").write.text(path)
 
 
+def write_mtxbin(a: Matrix, path: str, part_edges: int = BINARY_PART_EDGES) -> None:
+    """The binary form as a folder of files of at most ``part_edges`` edges, each with the header.
+
+    Tasks write their files themselves, to any store that pyarrow reaches; a
+    task that is run again writes the same names. What the folder held goes.
+    """
+    importable(a.df.sparkSession)
+    nnz = a.df.count()
+    head = struct.pack("<3q", a.nrows, a.ncols, nnz)
+    ends = a.df.select("row", "col").repartitionByRange(max(1, math.ceil(nnz / part_edges)), "row", "col").sortWithinPartitions("row", "col")
+    store, root = FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    store.delete_dir_contents(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, root = FileSystem.from_uri(path)
+        held, rows, part = [], 0, 0
+
+        def flush() -> None:
+            name = f"{root}/part-{task.partitionId():05d}-{part:05d}.mtxbin"
+            unfinished = f"{root}/_{task.taskAttemptId()}-{part}"
+            with store.open_output_stream(unfinished) as out:
+                out.write(head)
+                for pairs in held:
+                    out.write(pairs)
+            store.move(unfinished, name)
+
+        for batch in batches:
+            pairs = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1).astype("<i8") + 1
+            for lo in range(0, len(pairs), BINARY_EDGES):
+                some = pairs[lo : lo + BINARY_EDGES]
+                if rows + len(some) > part_edges and rows:
+                    flush()
+                    held, rows, part = [], 0, part + 1
+                held.append(some.tobytes())
+                rows += len(some)
+        if rows:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["parts"])
+
+    if not nnz:  # no task need run
+        with store.open_output_stream(f"{root}/part-00000-00000.mtxbin") as out:
+            out.write(head)
+        return
+    ends.mapInArrow(run, "parts long").agg(F.sum("parts")).collect()
+
+
 def mtxbin_bytes(a: Matrix) -> bytes:
-    """The binary form of a small matrix: its edges meet on the driver, so they are counted first."""
+    """The binary form of a small matrix: its edges meet on the driver, so they are counted first; see write_mtxbin()."""
     edges = a.df.select("row", "col")
     nnz = edges.count()
     if nnz > BINARY_EDGES:
-        raise InvalidValue(f"{nnz} edges; the binary form is written for at most {BINARY_EDGES}, use write_mtx")
+        raise InvalidValue(f"{nnz} edges; the binary form is written for at most {BINARY_EDGES}, use write_mtxbin")
     rows = edges.orderBy("row", "col").toPandas().to_numpy(np.int64) + 1
     return struct.pack("<3q", a.nrows, a.ncols, nnz) + rows.astype("<i8").tobytes()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import InvalidValue
 from gridloom.operators.matrix import Matrix
 
+# What such graphs and stencils are known by.
 #: Chances in percent of the four quadrants of an RMAT step.
 RMAT_CHANCES = (57, 19, 19, 5)
 #: Value on the diagonal of the stencil matrix, and off it.

@@ -24,6 +24,43 @@ def test_text_and_binary_files_agree(spark, tmp_path):
     assert (text.nrows, text.ncols) == (binary.nrows, binary.ncols) == (4, 4)
 
 
+def test_folders_of_parts_come_back_whole(spark, tmp_path):
+    """The part with the sizes need not be the largest or the first that Spark deals."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a = generate.random_uniform(spark, 9, 6, seed=2)
+        kept = sorted({(r, c, 1) for r, c, _ in cells(a) if r != c})
+        files.write_mtx(a, f"file://{tmp_path}/a.mtx")
+        assert len(list((tmp_path / "a.mtx").glob("part-*"))) > 4
+        text = files.read_mtx(spark, f"file://{tmp_path}/a.mtx", strict=True)
+        assert cells(text) == kept and (text.nrows, text.ncols) == (512, 512)
+        for _ in range(2):  # a second time over what is there
+            files.write_mtxbin(text, f"file://{tmp_path}/b.mtxbin", part_edges=100)
+        assert len(list((tmp_path / "b.mtxbin").iterdir())) >= len(kept) / 100
+        binary = files.read_mtx(spark, f"file://{tmp_path}/b.mtxbin")
+        assert cells(binary) == kept and (binary.nrows, binary.ncols) == (512, 512)
+        files.write_mtxbin(Matrix(a.df.where("false"), 3, 4), f"file://{tmp_path}/c.mtxbin")
+        empty = files.read_mtx(spark, f"file://{tmp_path}/c.mtxbin")
+        assert cells(empty) == [] and (empty.nrows, empty.ncols) == (3, 4)
+        (tmp_path / "list").mkdir()
+        (tmp_path / "list" / "a.txt").write_text("9 9\n" * 6 + "0 1\n")
+        (tmp_path / "list" / "b.txt").write_text("".join(f"{i} {i + 1}\n" for i in range(1, 2000)))
+        assert cells(files.read_edge_list(spark, f"file://{tmp_path}/list")) == [(i, i + 1, 1) for i in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from gridloom.shared import shared_dir
+
+    context = SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(InvalidValue):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
 def test_coordinate_file_with_comments_values_and_an_edge_like_its_sizes(spark, tmp_path):
     (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% note\n3 3 4\n3 3 4\n1 2 0.5\n2 1 7\n\n1 1 1\n")
     a = files.read_mtx(spark, f"file://{tmp_path}/c.mtx")
