@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.words import chunks, mix
 
-#: Bounds of the training sample: documents for each language, and characters of a document that may be in it.
+#: Bounds of the training sample: documents for each language, and characters of a document; longer ones give a piece.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 8_000
-#: Languages that are learned: those with most documents.
-MOST_LANGUAGES = 64
 ORDER = 5
 #: Symbols at which the score of a text stops growing more certain.
 EVIDENCE = 200
@@ -36,8 +34,10 @@ REJECT_SIGMAS = 8.0
 REJECT_SHARE = 0.7
 #: With fewer held-aside texts nothing is rejected for its cross-entropy.
 LEAST_CALIBRATION = 20
-#: Words remembered by a Python worker.
-REMEMBERED = 400_000
+#: Bytes of word scores remembered by a Python worker.
+REMEMBERED_BYTES = 16 << 20
+#: Words times languages that are scored at once.
+SCORED = 80_000
 UNDETERMINED = "und"
 
 _EDGE = np.uint32(0x110000)  # the symbol at both ends of a word
@@ -100,15 +100,43 @@ def _grams(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return place[predicted], grams, word[predicted]
 
 
+@dataclass
+class Sparse:
+    """A sorted hash array whose keys have a value in some languages: those of key i stand from bounds[i] to bounds[i + 1]."""
+
+    keys: np.ndarray
+    bounds: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(keys: list[np.ndarray], values: list[np.ndarray]) -> Sparse:
+        """From sorted keys and their values by language."""
+        flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+        language = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        order = np.argsort(flat, kind="stable")
+        every, first = np.unique(flat[order], return_index=True)
+        value = np.concatenate([np.zeros(0), *values])[order]
+        return Sparse(every, np.append(first, len(flat)).astype(np.int64), language[order], value.astype(np.float32))
+
+    def lookup(self, wanted: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, language, value) of all values of the keys wanted in ``some`` rows."""
+        at = _find(self.keys, wanted)
+        rows = np.flatnonzero(some & (at >= 0))
+        start = self.bounds[at[rows]]
+        n = self.bounds[at[rows] + 1] - start
+        flat = np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
+        return np.repeat(rows, n), self.language[flat], self.value[flat]
+
+
 @dataclass
 class Model:
-    """Sorted hash arrays of all orders, with a column for each language."""
+    """Sorted hash arrays of all orders; what a gram is worth is stored for the languages that know it."""
 
     languages: list[str]
-    keys: list[np.ndarray]  # by order: grams
-    logs: list[np.ndarray]  # log probability, nan where unseen
-    contexts: list[np.ndarray]  # by order: keys of what precedes
-    back: list[np.ndarray]  # log weight of the next shorter order, 0 where unseen
+    logs: list[Sparse]  # by order: log probability of grams
+    back: list[Sparse]  # by order: log weight of the next shorter order after a context
+    empty: np.ndarray  # the weight that precedes the floor, by language
     floor: float  # log probability of a symbol that no order knows
     mean: np.ndarray  # of the cross-entropy of held-aside texts, each word under its best model
     spread: np.ndarray  # of the same, times the root of the symbols
@@ -127,19 +155,16 @@ class Model:
         total = np.zeros((len(place), len(self.languages)))
         open_ = np.ones_like(total, bool)
         for k in reversed(range(ORDER)):
-            at = _find(self.keys[k], grams[k])
-            reach = (place >= k) & (at >= 0)
-            value = np.where(reach[:, None], self.logs[k][at], np.nan)
-            hit = open_ & ~np.isnan(value)
-            total[hit] += value[hit]
-            open_ &= ~hit
+            row, language, value = self.logs[k].lookup(grams[k], (place >= k) & open_.any(1))
+            still = open_[row, language]
+            row, language, value = row[still], language[still], value[still]
+            total[row, language] += value
+            open_[row, language] = False
             if k:
-                at = _find(self.contexts[k], contexts[k])
-                weight = np.where(((place >= k) & (at >= 0))[:, None], self.back[k][at], 0.0)
-            else:
-                weight = self.back[0][np.zeros(len(place), int)]
-            total += np.where(open_, weight, 0.0)
-        total += np.where(open_, self.floor, 0.0)
+                row, language, value = self.back[k].lookup(contexts[k], (place >= k) & open_.any(1))
+                still = open_[row, language]
+                total[row[still], language[still]] += value[still]
+        total += np.where(open_, self.empty + self.floor, 0.0)
         out = np.zeros((len(starts), len(self.languages)))
         np.add.at(out, word, total)
         return out
@@ -212,16 +237,9 @@ def train(samples: dict[str, list[str]]) -> Model:
     fit = {l: [t for i, t in enumerate(samples[l]) if i % 4 or len(samples[l]) < 8] for l in languages}
     alphabet = len(np.unique(np.concatenate([np.zeros(1, np.uint32), *(letter_words(fit[l])[0] for l in languages)]))) + 1
     tables = {l: _kneser_ney(fit[l], alphabet) for l in languages}
-    keys, logs, contexts, back = [], [], [], []
-    for k in range(ORDER):
-        for names, values, name, value, missing in ((keys, logs, "keys", "log", np.nan), (contexts, back, "contexts", "back", 0.0)):
-            every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(tables[l][0][k][name] for l in languages)]))
-            matrix = np.full((max(1, len(every)), len(languages)), missing)
-            for c, l in enumerate(languages):
-                matrix[np.searchsorted(every, tables[l][0][k][name]), c] = tables[l][0][k][value]
-            names.append(every)
-            values.append(matrix)
-    model = Model(languages, keys, logs, contexts, back, -math.log(max(2, alphabet)), np.zeros(len(languages)), np.ones(len(languages)), np.zeros(len(languages)))
+    logs, back = ([Sparse.of([tables[l][0][k][keys] for l in languages], [tables[l][0][k][values] for l in languages]) for k in range(ORDER)] for keys, values in (("keys", "log"), ("contexts", "back")))
+    empty = np.array([tables[l][0][0]["back"][0] if len(tables[l][0][0]["back"]) else 0.0 for l in languages])
+    model = Model(languages, logs, back, empty, -math.log(max(2, alphabet)), np.zeros(len(languages)), np.ones(len(languages)), np.zeros(len(languages)))
     aside_count, left_out = 0, []
     for c, l in enumerate(languages):
         aside = [t for i, t in enumerate(samples[l]) if not i % 4] or samples[l]
@@ -264,12 +282,13 @@ def score_texts(model: Model, texts: list[str], memory: _Memory | None = None, w
     scores = np.zeros((len(keys), len(model.languages)))
     scores[at >= 0] = memory.scores[at[at >= 0]]
     new = np.flatnonzero(at < 0)
-    for lo in range(0, len(new), 20_000):
-        some = new[lo : lo + 20_000]
+    step = max(256, SCORED // len(model.languages))
+    for lo in range(0, len(new), step):
+        some = new[lo : lo + step]
         scores[some] = model.word_scores(symbols, starts[first[some]], ends[first[some]])
     again = new[times[new] > 1]  # words met once are seldom met again
     if len(again):
-        if len(memory.keys) + len(again) > REMEMBERED:
+        if len(memory.keys) + len(again) > REMEMBERED_BYTES // (8 * len(model.languages) + 8):
             memory.keys, memory.scores = memory.keys[:0], memory.scores[:0]
         merged = np.concatenate([memory.keys, keys[again]])
         order = np.argsort(merged)
@@ -283,26 +302,39 @@ def score_texts(model: Model, texts: list[str], memory: _Memory | None = None, w
     return total, n, loose
 
 
-def training_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """At most SAMPLE_DOCS texts for each language, those whose doc_id has the least hash.
+def _piece(text: str, most: int) -> str:
+    """A text of one character more than ``most`` was cut from a longer one: without the words at its ends, which may be cut."""
+    if len(text) <= most:
+        return text
+    inner = text.partition(" ")[2].rpartition(" ")[0]
+    return inner or text[:most]
+
+
+def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """At most ``sample_docs`` texts for each language, those whose doc_id has the least hash.
 
-    Only rows with a language and 1 to SAMPLE_CHARS characters; at most
-    MOST_LANGUAGES languages. From the number of a language's documents follows
-    the hash below which some three times as many as wanted are expected; only
-    those are sorted, so no task's rows grow with the corpus.
+    Every language counts, and texts of any length: of more than
+    ``sample_chars`` characters a piece at a place that the hash names is
+    taken. From the number of a language's documents follows the hash below
+    which some three times as many as wanted are expected; only those are
+    sorted, so no task's rows grow with the corpus. What the driver holds grows
+    with the number of languages alone.
     """
-    eligible = docs.where(F.col("lang").isNotNull() & F.char_length("text").between(1, SAMPLE_CHARS)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = eligible.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    h = F.xxhash64("doc_id")
+    long = F.char_length("text") > sample_chars
+    piece = F.when(long, F.substring("text", (F.pmod(h, F.char_length("text") - sample_chars) + 1).cast("int"), F.lit(sample_chars + 1))).otherwise(F.col("text"))
+    eligible = docs.where(F.col("lang").isNotNull() & (F.char_length("text") > 0)).select("lang", piece.alias("text"), h.alias("h"))
+    counts = eligible.groupBy("lang").count().collect()
     if not counts:
         return {}
     parts = 1 << 30
-    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(parts, math.ceil(3 * SAMPLE_DOCS / r["count"] * parts)))])
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(parts, math.ceil(3 * sample_docs / r["count"] * parts)))])
     place = Window.partitionBy("lang").orderBy("h", "text")
     few = eligible.where(F.pmod("h", F.lit(parts)) < F.try_element_at(below, F.col("lang")))
-    chosen = few.withColumn("n", F.row_number().over(place)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "text")
+    chosen = few.withColumn("n", F.row_number().over(place)).where(F.col("n") <= sample_docs).select("lang", "n", "text")
     samples: dict[str, list[str]] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["n"])):
-        samples.setdefault(row["lang"], []).append(row["text"])
+        samples.setdefault(row["lang"], []).append(_piece(row["text"], sample_chars))
     return samples
 
 
@@ -311,11 +343,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``docs`` (or its columns in ``keep``, doc_id among them) with held_out, lang_pred, score, entropy and rejected, learned from ``docs`` itself.
 
     Training reads text and lang of a bounded sample of documents that are not
-    held out; predictions read whole texts and nothing else. ``score`` is the
+    held out: ``sample_docs`` of each language, ``sample_chars`` characters of each; predictions read whole texts and nothing else. ``score`` is the
     winner's share of the likelihoods, for at most EVIDENCE symbols.
     ``rejected``: no letters, or a cross-entropy (each word under the model
     that fits it best) above the limit that texts held aside in training
@@ -330,7 +362,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     new = ["held_out", "lang_pred", "score", "entropy", "rejected"]
     docs = docs.select(*[c for c in docs.columns if c not in new])
-    samples = training_sample(docs.where(~held_out(F.col("doc_id"))))
+    samples = training_sample(docs.where(~held_out(F.col("doc_id"))), sample_docs, sample_chars)
     model = train(samples) if samples else None
     names = docs.columns if keep is None else list(keep)
     places, at_text = [docs.columns.index(c) for c in names], docs.columns.index("text")

@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -78,5 +78,38 @@ def dedup_lines(docs, min_chars, min_docs):
     return out
 
 
+def kneser_ney(tokens, order, alphabet):
+    """p(context, symbol) of an interpolated Kneser-Ney model of padded words; also its grams (context, symbol) by order."""
+    seen, before = [defaultdict(Counter) for _ in range(order)], [defaultdict(set) for _ in range(order)]
+    for w in tokens:
+        s = f"\n{w}\n"
+        for i in range(1, len(s)):
+            for k in range(min(order, i + 1)):
+                seen[k][s[i - k : i]][s[i]] += 1
+                if i > k:
+                    before[k][s[i - k : i + 1]].add(s[i - k - 1])
+    for k in range(order - 1):
+        for context, symbols in seen[k].items():
+            for x in symbols:
+                if not (k and context[0] == "\n"):
+                    symbols[x] = len(before[k][context + x])
+    discount = []
+    for k in range(order):
+        counts = [c for symbols in seen[k].values() for c in symbols.values()]
+        once, twice = counts.count(1), counts.count(2)
+        discount.append(once / (once + 2 * twice) if once and twice else 0.5)
+
+    def p(context, symbol):
+        k = len(context)
+        lower = p(context[1:], symbol) if k else 1 / alphabet
+        symbols = seen[k].get(context)
+        if not symbols:
+            return lower
+        total = sum(symbols.values())
+        return (max(symbols[symbol] - discount[k], 0) + discount[k] * len(symbols) * lower) / total
+
+    return p, [[(c, x) for c, symbols in by.items() for x in symbols] for by in seen]
+
+
 def sha256(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()

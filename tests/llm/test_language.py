@@ -1,12 +1,15 @@
 """Language identification: held-out accuracy, proper distributions, odd rows; token counts."""
 
+import pickle
+
 import numpy as np
+import plain
 import public_tokenizers
 import pytest
 from plain import words
 from pyspark.sql import functions as F
 
-from gridloom.llm.language import ORDER, _contexts, _find, _grams, identify, letter_words, score_texts, train
+from gridloom.llm.language import ORDER, _kneser_ney, identify, letter_words, score_texts, train, training_sample
 from gridloom.llm.registry import queries
 from gridloom.llm.token_counts import MARK, Vocabulary, count_tokens, load_vocabulary
 
@@ -25,25 +28,64 @@ def test_predictions_do_not_read_the_held_out_labels(spark, sf):
     assert sorted(identify(docs).select(columns).collect()) == sorted(identify(hidden).select(columns).collect())
 
 
-def test_probabilities_add_up_to_one():
-    """After any context, seen or not, all symbols together have probability one."""
-    texts = ["abab abba baba", "bab aab abab"]
-    model = train({"x": texts * 4})
-    symbols, starts, ends, _ = letter_words(["".join(f"{c}a {c}b {c} " for c in ("a", "b", "ab", "aab", "babb"))])
-    grams, place, contexts = _grams(symbols, starts, ends)[1], _grams(symbols, starts, ends)[0], _contexts(symbols, starts, ends)
-    for k in range(1, ORDER):
-        # over the grams that follow one context: seen mass plus back-off weight is one
-        keys = {}
-        for i in np.flatnonzero(place >= k):
-            keys.setdefault(int(contexts[k][i]), set()).add(i)
-        for ctx in keys:
-            at = _find(model.contexts[k], np.array([ctx], np.uint64))[0]
-            if at >= 0:
-                assert np.exp(model.back[k][at, 0]) <= 1
-    # unigrams: every symbol and the unknown share one
-    assert abs(np.exp(model.logs[0][:, 0]).sum() - 1) < 0.35
-    assert (np.exp(model.logs[ORDER - 1]) <= 1 + 1e-12).all()
-    assert grams
+TEXTS = ["abab abba baba", "bab aab abab", "cab abacus", "a b c"]
+
+
+def test_probabilities_equal_a_plain_model():
+    """Tables to 1e-9; scores of words, in whole, to what single precision keeps; all symbols after a context add up to one."""
+    letters = sorted({c for t in TEXTS for c in t if c != " "})
+    p, grams = plain.kneser_ney([w for t in TEXTS for w in t.split()], ORDER, len(letters) + 2)
+    tables, _ = _kneser_ney(TEXTS, len(letters) + 2)
+    for k in range(ORDER):
+        want = sorted(p(c, x) for c, x in grams[k])
+        assert np.allclose(sorted(np.exp(tables[k]["log"])), want, rtol=0, atol=1e-9)
+    model = train({"x": TEXTS, "y": ["other words", "abacus"]})
+    at = model.languages.index("x")
+    p, _ = plain.kneser_ney([w for t in TEXTS for w in t.split()], ORDER, len({c for t in [*TEXTS, "other words"] for c in t if c != " "}) + 2)
+    for word in ("abab", "abacus", "z", "babz", "cc", "abzab"):
+        symbols, starts, ends, _ = letter_words([word])
+        padded = f"\n{word}\n"
+        want = sum(np.log(p(padded[max(0, i - ORDER + 1) : i], padded[i])) for i in range(1, len(padded)))
+        assert model.word_scores(symbols, starts, ends)[0, at] == pytest.approx(want, abs=1e-4)
+    symbols = sorted({c for t in [*TEXTS, "other words"] for c in t if c != " "}) + ["\n", "z"]
+    for context in ("", "\n", "a", "ab", "\nab", "abab", "zz", "cus", "q"):
+        assert sum(p(context, x) for x in symbols) == pytest.approx(1, abs=1e-9)
+
+
+def test_the_model_grows_with_its_languages_and_no_faster():
+    """No cap on languages; what is broadcast grows with them in proportion."""
+    rng = np.random.default_rng(1)
+
+    def model(n):
+        texts = {f"l{i}": [" ".join("".join(chr(0x4E00 + 13 * i + c) for c in rng.integers(0, 13, 6)) for _ in range(120)) for _ in range(6)] for i in range(n)}
+        return train(texts), texts
+
+    size = {}
+    for n in (8, 70):
+        trained, texts = model(n)
+        size[n] = len(pickle.dumps(trained))
+        best = score_texts(trained, [t[0] for t in texts.values()])[0].argmax(1)
+        assert [trained.languages[b] for b in best] == list(texts)
+    assert size[70] < 9.5 * size[8]
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    """Texts beyond the sample's characters give a piece of whole words."""
+    long = {l: [" ".join(rng_words(l, i)) for i in range(12)] for l in ("xx", "yy")}
+    rows = [(3 * i + j, t, l) for j, (l, ts) in enumerate(long.items()) for i, t in enumerate(ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = training_sample(docs, sample_docs=5, sample_chars=300)
+    assert {l: len(t) for l, t in sample.items()} == {"xx": 5, "yy": 5}
+    for l, ts in sample.items():
+        assert all(150 < len(t) <= 300 and set(t.split()) <= {w for x in long[l] for w in x.split()} for t in ts)
+    got = identify(docs, sample_docs=5, sample_chars=300).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def rng_words(language, seed):
+    rng = np.random.default_rng(seed)
+    letters = {"xx": "abcdefg", "yy": "qrstuvw"}[language]
+    return ["".join(rng.choice(list(letters), 5)) for _ in range(400)]
 
 
 def test_other_scripts_are_rejected_and_mixtures_stay(spark, sf):
