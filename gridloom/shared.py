@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -55,6 +56,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a write go when the write ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -67,12 +79,8 @@ def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     seen = Observation()
     if metrics:
         df = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written.shared_path, written.metrics = path, seen.get if metrics else {}
     return written
