@@ -40,7 +40,8 @@ def byte_symbols() -> list[str]:
 def unstable_chars() -> re.Pattern:
     """Characters whose class may differ between Unicode versions, and odd controls.
 
-    A text that holds one is left to the tokenizers library itself.
+    A text that holds one is normalised and cut to pre-tokens by the tokenizers
+    library, which has classes of its own.
     """
     old = unicodedata.ucd_3_2_0
     odd = {*range(0x1C, 0x20), 0x85}
@@ -86,7 +87,8 @@ class ForcedBoundaryBpe:
         self._ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
         self._inside = {pair for token in self._vocab for pair in self._pairs(self._symbols_of(token))}
         self._bytes = byte_symbols()
-        self._special = [t["content"] for t in spec["added_tokens"]]
+        self._special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")").split
         names = {i: t for t, i in self._vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self._names = [names.get(i, "") for i in range(max(names) + 1)]
         self._byte_of = {s: b for b, s in enumerate(self._bytes)}
@@ -101,6 +103,7 @@ class ForcedBoundaryBpe:
         self._find = regex.compile(pattern).findall
         self._fragments = _Remembered(self._encode_fragment, cache_entries)
         self._words = _Remembered(self._encode_word, cache_entries)
+        self._pieces = _Remembered(lambda piece: self._encode_symbols(list(piece)), cache_entries)
 
     @staticmethod
     def _pairs(symbols: list[str]) -> list[tuple[str, str]]:
@@ -114,14 +117,19 @@ class ForcedBoundaryBpe:
 
     def fragments(self, word: str) -> list[tuple[str, ...]]:
         """The symbols of a pre-token, cut at every pair that is inside no token."""
-        symbols = [self._bytes[b] for b in word.encode()]
+        return self._cut([self._bytes[b] for b in word.encode()])
+
+    def _cut(self, symbols: list[str]) -> list[tuple[str, ...]]:
         if symbols:
             symbols[-1] += self._suffix
         cuts = [i + 1 for i, pair in enumerate(self._pairs(symbols)) if pair not in self._inside]
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True) if a < b]
 
     def _encode_word(self, word: str) -> bytes:
-        cut = self.fragments(word)
+        return self._encode_symbols([self._bytes[b] for b in word.encode()])
+
+    def _encode_symbols(self, symbols: list[str]) -> bytes:
+        cut = self._cut(symbols)
         return self._encode_fragment(cut[0]) if len(cut) == 1 else b"".join([self._fragments[f] for f in cut])
 
     def _encode_fragment(self, symbols: tuple[str, ...]) -> bytes:
@@ -169,13 +177,19 @@ class ForcedBoundaryBpe:
         return [s for s in symbols if s]
 
     def _by_library(self, text: str) -> bytes:
+        """As encode(), special tokens apart, with pre-tokens that the library cuts; what is in them is still encoded here."""
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self._path)
-            self._library.no_truncation()
-            self._library.no_padding()
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in self._split_special(text) if self._special else [text]:
+            if part in self._special:
+                out.append(self._special[part])
+            elif part:
+                plain = self._library.normalizer.normalize_str(part) if self._library.normalizer else part
+                out += [self._pieces[piece] for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(plain)]
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
