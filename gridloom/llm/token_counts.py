@@ -3,10 +3,16 @@
 The distinct pre-tokens of many texts form a trie. The best unigram score of
 every prefix is computed once, at its node, from the scores of the nodes above
 it, and a word's token count is what its last node stores.
+
+The vocabulary's file holds merge ranks and no probabilities, and tokenizers
+are not trained here. So a piece's score is its log probability by Zipf's law
+for its place in the order of those ranks.
 """
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +24,7 @@ from gridloom.llm.words import Words, chunks
 
 #: Text bytes whose words share a trie.
 TRIE_BYTES = 4 << 20
-#: Characters of a pre-token that the trie takes; longer ones are scored one by one.
+#: Characters of a pre-token that the trie takes; longer ones, which share no prefix worth keeping, are scored alone.
 TRIE_DEPTH = 48
 #: What precedes each word in the vocabulary.
 MARK = "▁"
@@ -34,6 +40,9 @@ class Vocabulary:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
+        self.reach: dict[str, int] = {}  # the longest piece that ends in a character
+        for piece in scores:
+            self.reach[piece[-1]] = max(self.reach.get(piece[-1], 0), len(piece))
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
         self.keys, self.values = [np.zeros(0, np.uint64)], [np.zeros(0)]
         for n in range(1, self.longest + 1):
@@ -55,16 +64,20 @@ class Vocabulary:
         return np.where(keys[at] == h, self.values[length][at], -np.inf)
 
     def count(self, word: str) -> int:
-        """Tokens of one pre-token without a trie: the best score, of equals the fewest tokens."""
-        best = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
+        """Tokens of one pre-token without a trie: the best score, of equals the fewest tokens.
+
+        Of the prefixes only as many scores are held as the longest piece has
+        characters, whatever the length of the word.
+        """
+        best = deque([(0.0, 0)], self.longest)  # of the last prefixes
+        for end, last in enumerate(word, 1):
             options = []
-            for start in range(max(0, end - self.longest), end):
-                score = self.scores.get(word[start:end])
+            for n in range(1, min(end, self.reach.get(last, 0)) + 1):
+                score = self.scores.get(word[end - n : end])
                 if score is not None:
-                    options.append((best[start][0] + score, best[start][1] - 1))
-            if end - 1 >= 0 and word[end - 1] not in self.scores:
-                options.append((best[end - 1][0] + self.unknown, best[end - 1][1] - len(word[end - 1].encode())))
+                    options.append((best[-n][0] + score, best[-n][1] - 1))
+            if last not in self.scores:
+                options.append((best[-1][0] + self.unknown, best[-1][1] - len(last.encode())))
             best.append(max(options))
         return -best[-1][1]
 
@@ -119,12 +132,14 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def load_vocabulary(model_path: str) -> Vocabulary:
-    """The ordinary pieces of a sentencepiece model with the scores stored there."""
+    """The ordinary pieces of a sentencepiece model, scored by Zipf's law for the order of the scores stored there."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     ordinary = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return Vocabulary({model.id_to_piece(i): model.get_score(i) for i in ordinary})
+    ordinary.sort(key=lambda i: (-model.get_score(i), i))
+    total = sum(1 / r for r in range(1, len(ordinary) + 1))
+    return Vocabulary({model.id_to_piece(i): -math.log(r * total) for r, i in enumerate(ordinary, 1)})
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
@@ -132,7 +147,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
 
     Pre-tokens are runs of anything but [\\x20\\x09-\\x0D] with the mark for a
     word's start before them. Each is split into the pieces whose scores add
-    up to most (of equals, the fewest); a character outside the vocabulary
+    up to most (of equals, the fewest), the likeliest split of a unigram model; a character outside the vocabulary
     counts as its UTF-8 bytes.
 
     Null, empty or blank text: no tokens. Null doc_ids and repeated rows are
