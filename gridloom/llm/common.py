@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.shared import importable, materialize, new_path, release
+from gridloom.shared import importable, materialize, new_path, release, shuffles_removed
 
-__all__ = ["SPACES", "materialize", "new_path", "prepare", "release", "table", "whole_groups"]
+__all__ = ["SPACES", "materialize", "new_path", "prepare", "release", "shuffles_removed", "table", "whole_groups"]
 
 #: Bytes that separate words; the class [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gather: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups with the groups' bounds, of about ``gather`` rows.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gather: int, most_bytes: int = 1 << 62) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the groups' bounds, of about ``gather`` rows or ``most_bytes`` bytes, whatever is less.
 
     The rows of ``batches`` must stand sorted by the integer columns ``keys``.
     """
@@ -47,7 +47,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gathe
         for start in range(0, batch.num_rows, gather):
             part = pa.Table.from_batches([batch.slice(start, gather)])
             held = part if held is None else pa.concat_tables([held, part])
-            if held.num_rows >= gather and len(cuts := changes(held)):
+            if (held.num_rows >= gather or held.nbytes >= most_bytes) and len(cuts := changes(held)):
                 yield held.slice(0, int(cuts[-1])), np.concatenate([[0], cuts])
                 held = held.slice(int(cuts[-1]))
     if held is not None and held.num_rows:

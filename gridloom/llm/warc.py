@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import shuffles_removed
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Record ids name the page, so a revisit's header tells what it refers to.
 ID_PREFIX = "urn:gridloom:page:"
@@ -73,48 +75,71 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = D
         F.lit("\r\n"),
         http,
     )
-    joined.select("page_id", "address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/records")
+    with shuffles_removed(pages.sparkSession):
+        joined.select("page_id", "address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/records")
     # one row for each address: the largest page_id's, or any where no row has an id
     store = pages.select("page_id", body.alias("payload")).select("page_id", F.sha2("payload", 256).alias("address"), "payload")
     named = store.join(largest.where("first is not null").select(F.col("first").alias("page_id"), "address"), ["page_id", "address"], "left_semi").select("address", "payload")
     nameless = store.where("page_id is null").join(largest.where("first is null").select("address"), "address", "left_semi").dropDuplicates(["address"]).select("address", "payload")
-    named.union(nameless).write.parquet(f"{path}/payloads")
+    with shuffles_removed(pages.sparkSession):
+        named.union(nameless).write.parquet(f"{path}/payloads")
+
+
+def _field(head: Column, name: str) -> Column:
+    """A field of a header; empty where it is missing."""
+    return F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)", 1)
 
 
-def _field(name: str) -> Column:
-    """A field of the WARC header; empty where it is missing."""
-    return F.regexp_extract(F.decode("header", "UTF-8"), rf"\r\n{name}: ([^\r\n]*)", 1)
+def _page(field: Column) -> Column:
+    """The page that a record's name tells; null where it tells none."""
+    number = F.regexp_extract(field, rf"<{ID_PREFIX}(-?\d+)>", 1)
+    return F.when(number != "", number).cast("long")
+
+
+def _rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, address, record, n, digest, same): each record's exact bytes, and what its stored payload is."""
+    again = F.pmod(F.crc32("address"), F.lit(1024)).alias("again")
+    stored = spark.read.parquet(f"{path}/payloads").select(
+        "address", "payload", F.length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("digest"), (F.sha2("payload", 256) == F.col("address")).alias("same"), again
+    )
+    own = _field(F.decode("header", "UTF-8"), "WARC-Type") == "response"
+    joined = spark.read.parquet(f"{path}/records").select("*", own.alias("own"), again).join(stored, ["address", "again"], "left")
+    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
+    record = F.concat("header", F.when(F.col("own"), F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8")), end)
+    return joined.select("page_id", "address", record.alias("record"), "n", "digest", "same")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """What an archive says of each record, digests taken from the stored bytes again.
+    """What an archive's records say: each is rebuilt from its header and payload and read again.
 
     Columns: page_id, record_type, payload_bytes, payload_digest, refers_to.
-    A payload that is missing, or does not have its address or the digest in
-    the record's header, raises an error.
+    A response's size and digest are those of the payload in its record, a
+    revisit's those its headers name. A payload that is missing, or does not
+    have its address, or another size or digest than a record says, raises an
+    error.
     """
-    stored = spark.read.parquet(f"{path}/payloads")
-    again = F.pmod(F.crc32("address"), F.lit(1024)).alias("again")
-    checked = stored.select(
-        "address", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("address")).alias("same"), again
-    ).dropDuplicates(["address"])
-    refers = F.regexp_extract(_field("WARC-Refers-To"), rf"<{ID_PREFIX}(-?\d+)>", 1)
-    records = spark.read.parquet(f"{path}/records").select(
-        "page_id", "address", _field("WARC-Type").alias("record_type"), _field("WARC-Payload-Digest").alias("said"), F.when(refers != "", refers).cast("long").alias("refers_to"), again
+    end = "\r\n\r\n"
+    head = F.substring_index(F.col("record").cast("string"), end, 1)
+    size = _field(F.col("head"), "Content-Length").cast("int")
+    read = _rebuilt(spark, path).withColumn("head", head).withColumn("block", F.substring(F.col("record"), F.octet_length("head") + F.lit(5), size)).drop("record")
+    read = read.withColumn("http", F.substring_index(F.col("block").cast("string"), end, 1))
+    payload = F.substring(F.col("block"), F.octet_length("http") + F.lit(5), F.length("block"))
+    kind, said = _field(F.col("head"), "WARC-Type"), _field(F.col("head"), "WARC-Payload-Digest")
+    own = kind == "response"
+    bytes_ = F.when(own, F.length(payload)).otherwise(_field(F.col("http"), "Content-Length").cast("long")).cast("long")
+    digest = F.when(own, base32_sha1(payload)).otherwise(F.substring_index(said, "sha1:", -1))
+    out = read.select(
+        "address", "n", "same", F.col("digest").alias("stored"), said.alias("said"), _page(_field(F.col("head"), "WARC-Record-ID")).alias("page_id"), kind.alias("record_type"),
+        bytes_.alias("payload_bytes"), digest.alias("digest"), _page(_field(F.col("head"), "WARC-Refers-To")).alias("refers_to"),
     )
-    both = records.join(checked, ["address", "again"], "left")
-    right = F.coalesce(F.col("same") & (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit(False))
-    digest = F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("address"))).cast("string"))
-    return both.select("page_id", "record_type", "payload_bytes", digest.alias("payload_digest"), "refers_to")
+    right = F.col("same") & (F.col("n") == F.col("payload_bytes")) & (F.col("stored") == F.col("digest")) & (F.col("said") == F.concat(F.lit("sha1:"), F.col("stored")))
+    checked = F.when(F.coalesce(right, F.lit(False)), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("address"))).cast("string"))
+    return out.select("page_id", "record_type", "payload_bytes", checked.alias("payload_digest"), "refers_to")
 
 
 def reconstruct_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record): the exact bytes of each WARC record, payload joined to header again."""
-    again = F.pmod(F.crc32("address"), F.lit(1024)).alias("again")
-    records = spark.read.parquet(f"{path}/records").select("*", (_field("WARC-Type") == "response").alias("own"), again)
-    joined = records.join(spark.read.parquet(f"{path}/payloads").select("*", again), ["address", "again"])
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    return joined.select("page_id", F.concat("header", F.when(F.col("own"), F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8")), end).alias("record"))
+    """(page_id, record): the exact bytes of each WARC record, payload joined to header again; an empty archive has none."""
+    return _rebuilt(spark, path).select("page_id", "record")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
