@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize
+from gridloom.llm.common import materialize, release
 
 
 def _hung(edges: DataFrame, reach: DataFrame) -> DataFrame:
@@ -40,11 +40,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = _hung(both, both).where(F.col("far") > F.col("near")).select(F.col("far").alias("near"), F.col("least").alias("far"))
         large = large.where(F.col("near") != F.col("far")).distinct()
         hung = _hung(large, large).select(F.explode(F.array(F.struct(F.col("far").alias("near"), F.col("least").alias("far")), F.struct("near", F.col("least").alias("far")))).alias("e"))
-        edges = materialize(hung.select("e.near", "e.far").where(F.col("near") != F.col("far")).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("near", "far").cast("long"))).head()
-        if tuple(now) == seen:
+        stars = hung.select("e.near", "e.far").where(F.col("near") != F.col("far")).distinct()
+        new = materialize(stars, "edges", rows=F.count(F.lit(1)), hash=F.sum(F.xxhash64("near", "far").cast("decimal(20,0)")))
+        release(edges)
+        edges = new
+        if edges.metrics == seen:
             break
-        seen = tuple(now)
+        seen = edges.metrics
     return edges.select(F.col("near").alias("node"), F.col("far").alias("component")).union(edges.select(F.col("far").alias("node"), F.col("far").alias("component")).distinct())
 
 

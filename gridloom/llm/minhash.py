@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialize, release, whole_groups
@@ -45,8 +45,11 @@ class SketchConfig:
 _ELEMENTS = 1 << 16
 #: A pair is verified unless its likelihood at the threshold is below the best by more than this (five sigma).
 LIKELIHOOD_SLACK = 12.5
-#: Members and strangers of a component that are compared at once.
+#: Members and strangers of a bucket that are compared at once, and the shingles that either side has on average at most.
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 20
+#: Text bytes that are gathered before cells are compared.
+BLOCK_BYTES = 32 << 20
 #: Shingles whose counts are taken at once.
 SLAB = 8192
 
@@ -145,7 +148,7 @@ def _again(column: str):
 def _bands(reps: DataFrame, config: SketchConfig) -> DataFrame:
     width = 2 * config.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(config.bands)])
-    return reps.select(F.explode(keys).alias("key"), "doc_id")
+    return reps.select(F.posexplode(keys).alias("band", "key"), "doc_id")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, words: int, percent: int, config: SketchConfig) -> DataFrame:
@@ -198,20 +201,42 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _plausible(group: pa.Table, percent: int, config: SketchConfig) -> np.ndarray:
+    """Rows of a cell that may be linked across its sides: another component, this the first band they share, registers that may pass."""
+    side, component, band = group["side"].to_numpy(), group["component"].to_numpy(), group["band"][0].as_py()
+    n = group["n_shingles"].to_numpy().astype(np.float64)
+    k = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(group.num_rows, -1)
+    left, right = (np.flatnonzero(side == s) for s in (0, 1))
+    small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    open_ = (component[left][:, None] != component[right]) & (100 * small >= percent * large)
+    for b in range(band):
+        values = np.unique(np.ascontiguousarray(k[:, b * config.rows : (b + 1) * config.rows]).view(f"V{2 * config.rows}")[:, 0], return_inverse=True)[1]
+        open_ &= values[left][:, None] != values[right]
+    i, j = np.nonzero(open_)
+    i, j = left[i], right[j]
+    keep = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 2048):
+        x, y = i[lo : lo + 2048], j[lo : lo + 2048]
+        keep[lo : lo + 2048] = may_pass(k[x], k[y], n[x], n[y], config.base, percent / 100)
+    return np.unique(np.concatenate([i[keep], j[keep]]))
+
+
 def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, config: SketchConfig) -> DataFrame | None:
     """(node, component) by verified links among all that share a band.
 
     A bucket is never expanded into its pairs. First everyone is compared with
     the one centre (the smallest member of a bucket) that it shares most
     buckets with. Where a bucket then still holds several components, all but
-    its main one are strangers; strangers are compared with all members of
-    such buckets in blocks of bounded size, by counting common shingles for
-    whole blocks, so no pair that shares a bucket across components stays
-    untested, and rows grow with members times blocks of strangers.
+    its main one are strangers there. In each such bucket strangers meet all
+    members in blocks of bounded size, by registers alone: a pair of different
+    components is looked at in the first band it shares and stays if it may
+    pass. Only documents with such a pair fetch their texts, and the cells they
+    met in are compared by counting common shingles, so no pair that shares a
+    bucket across components stays untested.
     """
     bands = _bands(reps, config)
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select("key", "centre", _again("key"))
-    bucket = materialize(bands.select("*", _again("key")).join(shared, ["key", "again"]).select("key", "doc_id", "centre"), "bucket")
+    bucket = materialize(bands.select("*", _again("key")).join(shared, ["key", "again"]).select("key", "band", "doc_id", "centre"), "bucket")
     if bucket.isEmpty():
         return None
     inside = bucket.select("doc_id").distinct()
@@ -222,23 +247,40 @@ def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int,
     links = materialize(_verified(pairs, members, words, percent, config), "links")
     component = connected_components(links)
 
-    placed = bucket.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = bucket.select("key", "band", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = materialize(placed, "placed")
     parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("parts"))
     mixed = parts.where("parts > 1").select("key", F.col("main.component").alias("host"), _again("key"))
-    met = placed.select("*", _again("key")).join(mixed, ["key", "again"]).select("host", "doc_id", (F.col("component") != F.col("host")).alias("strange")).distinct()
-    met = materialize(met, "met")
+    met = placed.select("*", _again("key")).join(mixed, ["key", "again"]).select("key", "band", "doc_id", "component", (F.col("component") != F.col("host")).alias("strange"))
+    met = materialize(met.join(members.select("doc_id", "n_shingles"), "doc_id"), "met")
+
+    def blocks(only: Column) -> Column:
+        shingles = F.sum(F.when(only, F.col("n_shingles")))
+        return F.greatest(F.ceil(F.count_if(only) / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
+
+    sizes = met.groupBy("key").agg(blocks(F.lit(True)).alias("blocks"), blocks(F.col("strange")).alias("strange_blocks")).select("*", _again("key"))
     block = [F.pmod(F.xxhash64("doc_id"), n) for n in (F.col("blocks"), F.col("strange_blocks"))]
-    sizes = met.groupBy("host").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if("strange") / BLOCK).alias("strange_blocks")).select("*", _again("host"))
-    met = met.select("*", _again("host")).join(sizes, ["host", "again"])
-    one, many = F.lit(0).cast("long"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    every = met.select("host", "doc_id", block[0].alias("i"), many("strange_blocks").alias("j"), one.alias("side"))
-    strange = met.where("strange").select("host", "doc_id", block[1].alias("j"), many("blocks").alias("i"), one.alias("side"))
-    cells = every.unionByName(strange.withColumn("side", F.lit(1).cast("long")))
-    full = cells.join(members.select("doc_id", "text"), "doc_id").repartition("host", "i", "j").sortWithinPartitions("host", "i", "j")
+    dealt = met.drop("n_shingles").select("*", _again("key")).join(sizes, ["key", "again"])
+    many = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = dealt.select("key", "band", "doc_id", "component", block[0].alias("i"), many("strange_blocks").alias("j"), F.lit(0).cast("long").alias("side"))
+    strange = dealt.where("strange").select("key", "band", "doc_id", "component", block[1].alias("j"), many("blocks").alias("i"), F.lit(1).cast("long").alias("side"))
+    cell = ["key", "i", "j"]
+    sketched = every.unionByName(strange).join(members.select("doc_id", "n_shingles", "sig"), "doc_id").repartition(*cell).sortWithinPartitions(*cell)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, tuple(cell), 8 * BLOCK):
+            keep = [np.zeros(0, np.int64)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                group = rows.slice(lo, hi - lo)
+                keep.append(lo + _plausible(group, percent, config))
+            yield from rows.select(["key", "i", "j", "side", "doc_id"]).take(pa.array(np.concatenate(keep))).to_batches()
+
+    likely = sketched.select(*cell, "band", "side", "doc_id", "component", "n_shingles", "sig").mapInArrow(sift, "key long, i long, j long, side long, doc_id long")
+    likely = materialize(likely, "likely")
+    full = likely.join(members.select("doc_id", "text"), "doc_id").repartition(*cell).sortWithinPartitions(*cell)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, ("host", "i", "j"), BLOCK):
+        for rows, bounds in whole_groups(batches, tuple(cell), BLOCK, BLOCK_BYTES):
             a, b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 group = rows.slice(lo, hi - lo)
@@ -259,10 +301,10 @@ def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int,
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    found = full.select("host", "i", "j", "side", "doc_id", "text").mapInArrow(compare, "a long, b long")
+    found = full.select(*cell, "side", "doc_id", "text").mapInArrow(compare, "a long, b long")
     renamed = found.join(component.withColumnRenamed("node", "a"), "a", "left").select("b", F.coalesce("component", "a").alias("a")).distinct()
     component = connected_components(links.union(renamed.select("a", "b")))
-    for table in (bucket, members, placed):
+    for table in (bucket, members, placed, met, likely):
         release(table)
     return component
 

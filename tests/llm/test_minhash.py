@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from plain import near_components
 
 from gridloom.llm import minhash
@@ -38,9 +39,12 @@ def test_edited_copies_equal_all_pairs(spark):
     assert result(near_duplicates(df, words=2, percent=80)) == near_components(docs, 2, 80)
 
 
-def test_blocks_of_strangers(spark, monkeypatch):
-    """Small blocks: strangers and members of a component fall into several."""
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+@pytest.mark.parametrize("rows, shingles, size", [(4, 1 << 20, 1 << 25), (128, 400, 100)])
+def test_blocks_of_strangers(spark, monkeypatch, rows, shingles, size):
+    """Small blocks, by rows or by shingles and bytes: strangers and members of a bucket fall into several."""
+    monkeypatch.setattr(minhash, "BLOCK", rows)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
     docs = []
