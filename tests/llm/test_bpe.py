@@ -31,6 +31,21 @@ def test_ids_and_text_equal_the_library(name, documents):
         assert ours.decode(np.array(ids, "<u4").tobytes()) == theirs.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_odd_characters_equal_the_library(name):
+    """Special tokens, characters beyond the basic plane, combining marks and odd blanks, in any order."""
+    rng = random.Random(9)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "😀", "𝒳", "é", "e\u0301", "Σας", "İ", "ß", "\x1c", "\x85", "\u00a0", "\n", " ", "§", "ª", "Hello", " world", "'LL", "12", "३", "漢字", "\u200d", "…"]
+    theirs = Tokenizer.from_file(public_tokenizers.path(name))
+    theirs.no_truncation()
+    theirs.no_padding()
+    ours = ForcedBoundaryBpe(public_tokenizers.path(name))
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(0x20, 0xD7FF), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(rng.randrange(1, 25)))
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == np.array(ids, "<u4").tobytes()
+
+
 def test_no_merge_crosses_a_cut():
     bpe = ForcedBoundaryBpe(public_tokenizers.path("word_bpe_49k.json"))
     cut = [w for w in ("xqzjv", "qwxzkj", "ñqé") if len(bpe.fragments(w)) > 1]
