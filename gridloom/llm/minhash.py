@@ -46,7 +46,7 @@ _ELEMENTS = 1 << 16
 #: A pair is verified unless its likelihood at the threshold is below the best by more than this (five sigma).
 LIKELIHOOD_SLACK = 12.5
 #: Members and strangers of a bucket that are compared at once, and the shingles that either side has on average at most.
-BLOCK = 128
+BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 #: Text bytes that are gathered before cells are compared.
 BLOCK_BYTES = 32 << 20
@@ -148,7 +148,7 @@ def _again(column: str):
 def _bands(reps: DataFrame, config: SketchConfig) -> DataFrame:
     width = 2 * config.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(config.bands)])
-    return reps.select(F.posexplode(keys).alias("band", "key"), "doc_id")
+    return reps.select(F.posexplode(keys).alias("band", "key"), "doc_id", "n_shingles")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, words: int, percent: int, config: SketchConfig) -> DataFrame:
@@ -236,7 +236,7 @@ def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int,
     """
     bands = _bands(reps, config)
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select("key", "centre", _again("key"))
-    bucket = materialize(bands.select("*", _again("key")).join(shared, ["key", "again"]).select("key", "band", "doc_id", "centre"), "bucket")
+    bucket = materialize(bands.select("*", _again("key")).join(shared, ["key", "again"]).select("key", "band", "doc_id", "n_shingles", "centre"), "bucket")
     if bucket.isEmpty():
         return None
     inside = bucket.select("doc_id").distinct()
@@ -247,12 +247,12 @@ def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int,
     links = materialize(_verified(pairs, members, words, percent, config), "links")
     component = connected_components(links)
 
-    placed = bucket.select("key", "band", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = bucket.select("key", "band", "doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = materialize(placed, "placed")
     parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.count("*").alias("parts"))
     mixed = parts.where("parts > 1").select("key", F.col("main.component").alias("host"), _again("key"))
-    met = placed.select("*", _again("key")).join(mixed, ["key", "again"]).select("key", "band", "doc_id", "component", (F.col("component") != F.col("host")).alias("strange"))
-    met = materialize(met.join(members.select("doc_id", "n_shingles"), "doc_id"), "met")
+    met = placed.select("*", _again("key")).join(mixed, ["key", "again"]).select("key", "band", "doc_id", "n_shingles", "component", (F.col("component") != F.col("host")).alias("strange"))
+    met = materialize(met, "met")
 
     def blocks(only: Column) -> Column:
         shingles = F.sum(F.when(only, F.col("n_shingles")))
@@ -260,15 +260,15 @@ def _candidate_links(docs: DataFrame, reps: DataFrame, words: int, percent: int,
 
     sizes = met.groupBy("key").agg(blocks(F.lit(True)).alias("blocks"), blocks(F.col("strange")).alias("strange_blocks")).select("*", _again("key"))
     block = [F.pmod(F.xxhash64("doc_id"), n) for n in (F.col("blocks"), F.col("strange_blocks"))]
-    dealt = met.drop("n_shingles").select("*", _again("key")).join(sizes, ["key", "again"])
+    dealt = met.select("*", _again("key")).join(sizes, ["key", "again"])
     many = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    every = dealt.select("key", "band", "doc_id", "component", block[0].alias("i"), many("strange_blocks").alias("j"), F.lit(0).cast("long").alias("side"))
-    strange = dealt.where("strange").select("key", "band", "doc_id", "component", block[1].alias("j"), many("blocks").alias("i"), F.lit(1).cast("long").alias("side"))
+    every = dealt.select("key", "band", "doc_id", "n_shingles", "component", block[0].alias("i"), many("strange_blocks").alias("j"), F.lit(0).cast("long").alias("side"))
+    strange = dealt.where("strange").select("key", "band", "doc_id", "n_shingles", "component", block[1].alias("j"), many("blocks").alias("i"), F.lit(1).cast("long").alias("side"))
     cell = ["key", "i", "j"]
-    sketched = every.unionByName(strange).join(members.select("doc_id", "n_shingles", "sig"), "doc_id").repartition(*cell).sortWithinPartitions(*cell)
+    sketched = every.unionByName(strange).join(members.select("doc_id", "sig"), "doc_id").repartition(*cell).sortWithinPartitions(*cell)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in whole_groups(batches, tuple(cell), 8 * BLOCK):
+        for rows, bounds in whole_groups(batches, tuple(cell), 2 * BLOCK):
             keep = [np.zeros(0, np.int64)]
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 group = rows.slice(lo, hi - lo)
