@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,12 @@ from pyspark.sql import DataFrame
 
 #: Pre-tokens, and fragments of cut ones, that a Python worker remembers; up to twice as many are held.
 CACHE_ENTRIES = 300_000
+#: Bytes that one such map may take, whatever the length of its keys; up to twice as many are held.
+CACHE_BYTES = 24 << 20
+#: What an entry takes besides key and value: its slot in the table, and a symbol with the suffix.
+ENTRY_BYTES = 120
 #: Text bytes whose results go into one Arrow batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 # Fixed pattern of byte-level pre-tokenizers that name no pattern of their own.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,33 +62,37 @@ def unstable_chars() -> re.Pattern:
 
 
 class _Remembered(dict):
-    """A map that computes what it misses; when full, only what is asked for again is carried over."""
+    """A map that computes what it misses, bounded in entries and bytes; when full, only what is asked for again is carried over."""
 
-    def __init__(self, compute, entries: int):
+    def __init__(self, compute, entries: int, most_bytes: int):
         super().__init__()
-        self.compute, self.entries, self.before = compute, entries, {}
+        self.compute, self.entries, self.most_bytes, self.bytes, self.before = compute, entries, most_bytes, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
-            self.before = dict(self)
-            self.clear()
-        value = self.before.get(key)
-        if value is None:
+        if (value := self.before.get(key)) is None:
             value = self.compute(key)
+        size = getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+        if size > self.most_bytes // 16:  # a few of those would drive out all others
+            return value
+        if len(self) >= self.entries or self.bytes + size > self.most_bytes:
+            self.before, self.bytes = dict(self), 0
+            self.clear()
         self[key] = value
+        self.bytes += size
         return value
 
 
 class ForcedBoundaryBpe:
     """Encoder and decoder for a byte-level BPE file in the tokenizers JSON format."""
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self._path, self._library = path, None
         self._suffix = model["end_of_word_suffix"] or ""
         self._vocab = model["vocab"]
+        self._id_bytes = {token: i.to_bytes(4, "little") for token, i in self._vocab.items()}
         self._ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
         self._inside = {pair for token in self._vocab for pair in self._pairs(self._symbols_of(token))}
         self._bytes = byte_symbols()
@@ -101,9 +110,9 @@ class ForcedBoundaryBpe:
             if step["type"] == "Split":
                 pattern = step["pattern"]["Regex"]
         self._find = regex.compile(pattern).findall
-        self._fragments = _Remembered(self._encode_fragment, cache_entries)
-        self._words = _Remembered(self._encode_word, cache_entries)
-        self._pieces = _Remembered(lambda piece: self._encode_symbols(list(piece)), cache_entries)
+        self._fragments = _Remembered(self._encode_fragment, cache_entries, cache_bytes)
+        self._words = _Remembered(self._encode_word, cache_entries, cache_bytes)
+        self._pieces = _Remembered(lambda piece: self._encode_symbols(list(piece)), cache_entries, cache_bytes)
 
     @staticmethod
     def _pairs(symbols: list[str]) -> list[tuple[str, str]]:
@@ -122,7 +131,10 @@ class ForcedBoundaryBpe:
     def _cut(self, symbols: list[str]) -> list[tuple[str, ...]]:
         if symbols:
             symbols[-1] += self._suffix
-        cuts = [i + 1 for i, pair in enumerate(self._pairs(symbols)) if pair not in self._inside]
+        inside = self._inside
+        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False), 1) if pair not in inside]
+        if not cuts:
+            return [tuple(symbols)] if symbols else []
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True) if a < b]
 
     def _encode_word(self, word: str) -> bytes:
@@ -134,7 +146,7 @@ class ForcedBoundaryBpe:
 
     def _encode_fragment(self, symbols: tuple[str, ...]) -> bytes:
         merged = self._merge_short(list(symbols)) if len(symbols) <= 32 else self._merge_long(list(symbols))
-        return np.array([self._vocab[s] for s in merged], "<u4").tobytes()
+        return b"".join([self._id_bytes[s] for s in merged])
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
         """The lowest-ranked pair first, the leftmost among equals."""

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -63,6 +64,26 @@ def test_long_and_short_merging_agree():
         assert bpe._merge_long(list(symbols)) == bpe._merge_short(list(symbols))
 
 
+def held_bytes(remembered):
+    return sum(getsizeof(k) + getsizeof(v) for m in (remembered, remembered.before) for k, v in m.items())
+
+
+def test_memory_does_not_grow_with_long_words():
+    words = ForcedBoundaryBpe(public_tokenizers.path("word_bpe_49k.json"))._words
+    words.compute = str.encode
+    assert all(words[w] == w.encode() for w in (f"{i:01000d}" for i in range(60_000)))
+    assert held_bytes(words) <= 48 << 20
+
+
+def test_maps_of_few_bytes_give_the_same_ids(documents):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ample, scarce = ForcedBoundaryBpe(path), ForcedBoundaryBpe(path, cache_bytes=20_000)
+    for text in [*odd_texts(), *(t for _, t in documents[:60])] * 2:
+        assert scarce.encode(text) == ample.encode(text)
+    for remembered in (scarce._words, scarce._fragments, scarce._pieces):
+        assert held_bytes(remembered) <= 40_000 and "w" * 5000 not in remembered
+
+
 def test_query(spark, sf, documents):
     theirs = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {r["doc_id"]: r for r in queries()["op3_bpe"](spark, sf).collect()}
