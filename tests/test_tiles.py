@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import algebra as al
 from gridloom.operators import ops, tiles
-from gridloom.operators.descriptor import S
+from gridloom.operators.descriptor import SC, S
+from gridloom.operators.masks import Alike
 from gridloom.operators.matrix import Matrix
+from gridloom.operators.vector import Vector
 from gridloom.plans import algorithms as alg
 from gridloom.plans import fixtures as fx
 
@@ -96,3 +98,32 @@ def test_exchanges_of_the_graph_are_sized_by_its_lines(spark, sf, monkeypatch):
     text = fx.co_purchase(spark, sf).df._jdf.queryExecution().executedPlan().toString()
     lines = fx.table(spark, sf, "lineitem").count()
     assert "hashpartitioning(low#" in text and text.count(f", {-(-lines // 200)}), REPARTITION_BY_NUM") >= 2
+
+
+def test_whole_products_in_tiles(spark, tiled):
+    tiled.setattr(tiles, "FEW", 0)
+    tiled.setattr(tiles, "TILE_PRODUCTS", 200)
+    draw = random.Random(8)
+    n, m, q = 30, 20, 25
+    a, b = ([(draw.randrange(x), draw.randrange(y), draw.randrange(1, 9)) for _ in range(150)] for x, y in ((n, m), (m, q)))
+    rows, cols = [(i, i % 4) for i in range(n - 3)], [(i, i % 3) for i in range(q)]
+    of_row, of_col = dict(rows), dict(cols)
+    every, unlike = {}, {}
+    for (r, k, x), (j, c, y) in itertools.product(a, b):
+        if k == j:
+            every[r, c] = every.get((r, c), 0) + x * y
+            if of_row.get(r) != of_col[c]:
+                unlike[r, c] = unlike.get((r, c), 0) + x * y
+    x, y = built(spark, a, n, m), built(spark, b, m, q)
+    assert cells(ops.mxm(x, y).df) == every
+    mask = Alike(Vector(spark.createDataFrame(rows, "idx long, val long"), n), Vector(spark.createDataFrame(cols, "idx long, val long"), q))
+    assert cells(ops.mxm(x, y, mask=mask, desc=SC).df) == unlike
+    assert cells(ops.mxm(x, y, mask=mask, desc=S).df) == {p: v for p, v in every.items() if p not in unlike}
+    # the mask's pairs are never written out: they grow with the square of the tables
+    plan = ops.mxm(x, y, mask=mask, desc=SC).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
+    wide = built(spark, [(i, i % 5, 1) for i in range(1000)], 1000, 5)
+    tiled.setattr(tiles, "TILE_PRODUCTS", 50_000)
+    start = shuffled(spark)
+    assert ops.mxm(wide, wide.T).df.count() == 200_000
+    assert shuffled(spark) - start < 600_000
