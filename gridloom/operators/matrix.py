@@ -10,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import DimensionMismatch, IndexOutOfBounds, NullPointer
 from gridloom.operators.scan import ranked
 from gridloom.operators.vector import Vector
 
+#: Positions of a row-compressed matrix that are put together at once, as a power of two.
+CHUNK_BITS = 16
+
 
 @dataclass(frozen=True)
 class Matrix:
@@ -50,10 +53,16 @@ class Matrix:
     @staticmethod
     def from_csr(row_ptr: DataFrame, entries: DataFrame, nrows: int, ncols: int) -> Matrix:
         """From (row, ptr) with nrows + 1 rows and entries (pos, col, val): row r holds positions ptr[r] to ptr[r + 1] - 1."""
+        # rows and entries meet by chunks of positions, where each entry takes the row that began last
         start, end = row_ptr.select("row", F.col("ptr").alias("start")), row_ptr.select((F.col("row") - 1).alias("row"), F.col("ptr").alias("end"))
         spans = start.join(end, "row").where(F.col("end") > F.col("start"))
-        placed = spans.select("row", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-        return Matrix(placed.join(entries, "pos").select("row", "col", "val"), nrows, ncols)
+        chunks = spans.withColumn("chunk", F.explode(F.sequence(F.shiftright("start", CHUNK_BITS), F.shiftright(F.col("end") - 1, CHUNK_BITS))))
+        kind = entries.schema["col"].dataType, entries.schema["val"].dataType
+        begins = chunks.select("chunk", F.greatest("start", F.shiftleft("chunk", CHUNK_BITS)).alias("pos"), "row", F.lit(None).cast(kind[0]).alias("col"), F.lit(None).cast(kind[1]).alias("val"), F.lit(0).alias("kind"))
+        held = entries.select(F.shiftright("pos", CHUNK_BITS).alias("chunk"), "pos", F.lit(None).cast("long").alias("row"), "col", "val", F.lit(1).alias("kind"))
+        so_far = Window.partitionBy("chunk").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        placed = begins.union(held).withColumn("row", F.last("row", ignorenulls=True).over(so_far)).where("kind = 1")
+        return Matrix(placed.select("row", "col", "val"), nrows, ncols)
 
     @staticmethod
     def from_lists(spark: SparkSession, lists: Sequence[Sequence[tuple[int, object]]], kind: str = "double") -> Matrix:

@@ -19,7 +19,7 @@ from gridloom.errors import IndexOutOfBounds, InvalidValue
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.scan import ranked
 from gridloom.operators.vector import Vector
-from gridloom.shared import importable
+from gridloom.shared import TASK_ROWS, importable, materialize, release, spread
 
 # Fixed values of the formats.
 #: Weight of an edge in files that hold none.
@@ -118,7 +118,7 @@ def read_edge_list(spark: SparkSession, path: str, undirected: bool = False, hea
     if low is not None and low < 0:
         raise IndexOutOfBounds("an edge has a negative end")
     if undirected:
-        edges = edges.union(edges.select("col", "row", "val"))
+        edges = edges.select(F.expr("stack(2, row, col, col, row) as (row, col)"), "val")  # lines are read once for both directions
     n = 0 if high is None else high + 1
     return Matrix(edges, n, n)
 
@@ -145,8 +145,13 @@ def mtx_lines(a: Matrix) -> DataFrame:
 
 
 def write_mtx(a: Matrix, path: str) -> None:
-    """A coordinate file (a folder of parts in order) of distinct edges without loops."""
-    mtx_lines(a).orderBy("pos").select("value").write.text(path)
+    """A coordinate file (a folder of parts in order) of distinct edges without loops: the head is a part before the sorted ones."""
+    edges = materialize(a.df.where(F.col("row") != F.col("col")).select("row", "col").distinct(), "mtx", rows=F.count(F.lit(1)))
+    nnz, spark = edges.metrics["rows"], a.df.sparkSession
+    head = spark.createDataFrame([(f"{STRICT_BANNER}\n{a.nrows} {a.ncols} {nnz}",)], "value string").coalesce(1)
+    dealt = edges.repartitionByRange(spread(spark, nnz), "row", "col").sortWithinPartitions("row", "col")
+    head.union(dealt.select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1).alias("value"))).write.text(path)
+    release(edges)
 
 
 def write_mtxbin(a: Matrix, path: str, part_edges: int = BINARY_PART_EDGES) -> None:
@@ -156,9 +161,12 @@ def write_mtxbin(a: Matrix, path: str, part_edges: int = BINARY_PART_EDGES) -> N
     task that is run again writes the same names. What the folder held goes.
     """
     importable(a.df.sparkSession)
-    nnz = a.df.count()
+    edges = materialize(a.df.select("row", "col"), "mtxbin", rows=F.count(F.lit(1)))
+    nnz = edges.metrics["rows"]
     head = struct.pack("<3q", a.nrows, a.ncols, nnz)
-    ends = a.df.select("row", "col").repartitionByRange(max(1, math.ceil(nnz / part_edges)), "row", "col").sortWithinPartitions("row", "col")
+    # a task writes many files if they are small: what a task reports to the driver does not depend on their size
+    tasks = max(1, math.ceil(nnz / max(part_edges, TASK_ROWS)))
+    ends = edges.repartitionByRange(tasks, "row", "col").sortWithinPartitions("row", "col")
     store, root = FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
     store.delete_dir_contents(root)
@@ -181,13 +189,13 @@ def write_mtxbin(a: Matrix, path: str, part_edges: int = BINARY_PART_EDGES) -> N
 
         for batch in batches:
             pairs = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1).astype("<i8") + 1
-            for lo in range(0, len(pairs), BINARY_EDGES):
-                some = pairs[lo : lo + BINARY_EDGES]
-                if rows + len(some) > part_edges and rows:
-                    flush()
-                    held, rows, part = [], 0, part + 1
+            while len(pairs):
+                some, pairs = pairs[: part_edges - rows], pairs[part_edges - rows :]
                 held.append(some.tobytes())
                 rows += len(some)
+                if rows == part_edges:
+                    flush()
+                    held, rows, part = [], 0, part + 1
         if rows:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["parts"])
@@ -197,6 +205,7 @@ def write_mtxbin(a: Matrix, path: str, part_edges: int = BINARY_PART_EDGES) -> N
             out.write(head)
         return
     ends.mapInArrow(run, "parts long").agg(F.sum("parts")).collect()
+    release(edges)
 
 
 def mtxbin_bytes(a: Matrix) -> bytes:

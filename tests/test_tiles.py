@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import algebra as al
-from gridloom.operators import ops, tiles
+from gridloom.operators import ops, scan, tiles
 from gridloom.operators.descriptor import SC, S
 from gridloom.operators.masks import Alike
 from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
 from gridloom.plans import algorithms as alg
 from gridloom.plans import fixtures as fx
+from gridloom.sources import files
 
 
 @pytest.fixture
@@ -127,3 +128,32 @@ def test_whole_products_in_tiles(spark, tiled):
     start = shuffled(spark)
     assert ops.mxm(wide, wide.T).df.count() == 200_000
     assert shuffled(spark) - start < 600_000
+
+
+def test_small_files_need_few_tasks(spark, tmp_path):
+    """What tasks report to the driver grows with the edges, not with the files."""
+    a = Matrix(spark.range(3000).select("id", (F.col("id") + 1).alias("col"), F.lit(1).cast("long").alias("val")).toDF("row", "col", "val"), 3001, 3001)
+    tracker, known = spark.sparkContext.statusTracker(), {}
+    group = "small-files"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        files.write_mtxbin(a, f"file://{tmp_path}/a.mtxbin", part_edges=10)
+        for job in tracker.getJobIdsForGroup(group):
+            for stage in tracker.getJobInfo(job).stageIds:
+                if (info := tracker.getStageInfo(stage)) is not None:
+                    known[stage] = info.numTasks
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(list((tmp_path / "a.mtxbin").iterdir())) >= 300 and max(known.values()) < 100
+    assert cells(files.read_mtx(spark, f"file://{tmp_path}/a.mtxbin").df) == {(i, i + 1): 1 for i in range(3000)}
+
+
+def test_numbering_sorts_once(spark, monkeypatch):
+    """Rows are numbered where they were sorted: no exchange after the table is written."""
+    monkeypatch.setattr("gridloom.shared.TASK_ROWS", 50)
+    draw = random.Random(3)
+    rows = [(draw.randrange(40), i) for i in range(1000)]
+    out = scan.ranked(spark.createDataFrame(rows, "a long, b long"), ["a", "b"], "pos")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[:2] for r in sorted(out.select("a", "b", "pos").collect(), key=lambda r: r["pos"])] == sorted(rows)
+    assert sorted(r["pos"] for r in out.collect()) == list(range(1000))
