@@ -14,6 +14,8 @@ from gridloom.operators.matrix import Matrix
 from gridloom.operators.vector import Vector
 from gridloom.plans import algorithms as alg
 from gridloom.plans import fixtures as fx
+from gridloom.plans.iterate import near_edges
+from gridloom.shared import materialize
 from gridloom.sources import files
 
 
@@ -157,3 +159,14 @@ def test_numbering_sorts_once(spark, monkeypatch):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r)[:2] for r in sorted(out.select("a", "b", "pos").collect(), key=lambda r: r["pos"])] == sorted(rows)
     assert sorted(r["pos"] for r in out.collect()) == list(range(1000))
+
+
+def test_loop_edges_lie_by_near_indices(spark):
+    """Edges to near vertices are in one bucket, so that sums of a round are few before they move."""
+    band = spark.range(4000).select(F.col("id").alias("row"), ((F.col("id") + 1) % 4000).alias("col"))
+    edges = near_edges(band, "col", 4000, "near")
+    assert edges.part is not None and hasattr(edges.df, "shared_table")
+    ends = edges.df.groupBy("part").agg(F.max("col") - F.min("col")).collect()
+    assert len(ends) > 1 and all(r[1] < 4000 * 2 / len(ends) for r in ends)
+    met = materialize(edges.meet(band.select("col").distinct()), "met", together=True)
+    assert sorted(tuple(r) for r in met.select("row", "col").collect()) == sorted(tuple(r) for r in band.collect())
